@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import p02_sentences as p2
 from textloom.llm import p04_split_oversized as p4
 from textloom.llm import p06_format_duplicates as p6
 from textloom.llm import p07_term_frequency as p7
 from textloom.llm import p08_byte_bpe as p8
+from textloom.llm import p10_truncation as p10
 from textloom.session import table
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def p2_units(spark: SparkSession, d: str) -> DataFrame:
+    return p2.split_sentences(table(spark, d, "documents"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2.split_sentences(table(spark, d, "documents"), with_text=False).select("doc_id", "start_pos", "end_pos")
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return p4.split_oversized(table(spark, d, "paragraph_memory"), table(spark, d, "memory_files"), table(spark, d, "model_backends"))
 
@@ -44,7 +54,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return p8.token_ids(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10.judge_endings(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p10.truncation_rates(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_units": p2_units,
+    "p2_found": p2_found,
     "p4_pieces": p4_pieces,
     "p4_found": p4_found,
     "p6_records": p6_records,
@@ -52,4 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_frequency": p7_frequency,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
