@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import p01_pair_defects as p1
 from textloom.llm import p02_sentences as p2
 from textloom.llm import p04_split_oversized as p4
 from textloom.llm import p06_format_duplicates as p6
@@ -18,6 +19,14 @@ from textloom.session import table
 TOKENIZERS = "/opt/tokenizers"
 
 
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    return p1.pair_labels(table(spark, d, "paragraph_memory"), table(spark, d, "memory_files"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1.pair_defects(table(spark, d, "paragraph_memory"), table(spark, d, "memory_files"))
+
+
 def p2_units(spark: SparkSession, d: str) -> DataFrame:
     return p2.split_sentences(table(spark, d, "documents"))
 
@@ -63,6 +72,8 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_labels": p1_labels,
+    "p1_found": p1_found,
     "p2_units": p2_units,
     "p2_found": p2_found,
     "p4_pieces": p4_pieces,
