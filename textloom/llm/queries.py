@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import p01_pair_defects as p1
 from textloom.llm import p02_sentences as p2
+from textloom.llm import p03_consistent_form as p3
 from textloom.llm import p04_split_oversized as p4
 from textloom.llm import p06_format_duplicates as p6
 from textloom.llm import p07_term_frequency as p7
@@ -35,6 +36,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2.split_sentences(table(spark, d, "documents"), with_text=False).select("doc_id", "start_pos", "end_pos")
 
 
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "paragraph_memory").select("rec_id", "source_surface")
+    return p3.consistent_form(rows, "source_surface").select("rec_id", "canonical").distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    memory = table(spark, d, "paragraph_memory")
+    records = p3.look_alike_records(memory).select(F.lit("source_surface").alias("field"), "left_id", "right_id")
+    terms = p3.look_alike_terms(memory, table(spark, d, "glossary")).select(F.lit("terms").alias("field"), "left_id", "right_id")
+    return records.unionByName(terms)
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return p4.split_oversized(table(spark, d, "paragraph_memory"), table(spark, d, "memory_files"), table(spark, d, "model_backends"))
 
@@ -76,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_units": p2_units,
     "p2_found": p2_found,
+    "p3_forms": p3_forms,
+    "p3_found": p3_found,
     "p4_pieces": p4_pieces,
     "p4_found": p4_found,
     "p6_records": p6_records,
