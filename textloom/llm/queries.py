@@ -14,6 +14,7 @@ from textloom.llm import p04_split_oversized as p4
 from textloom.llm import p06_format_duplicates as p6
 from textloom.llm import p07_term_frequency as p7
 from textloom.llm import p08_byte_bpe as p8
+from textloom.llm import p09_packing as p9
 from textloom.llm import p10_truncation as p10
 from textloom.session import table
 
@@ -76,6 +77,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return p8.token_ids(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return p9.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_specs"), TOKENIZERS)
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return p9.fill_rates(p9_packed(spark, d), table(spark, d, "pack_specs"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10.judge_endings(table(spark, d, "documents")).where("cut").select("doc_id")
 
@@ -98,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_frequency": p7_frequency,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
+    "p9_packed": p9_packed,
+    "p9_fill": p9_fill,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
