@@ -11,6 +11,7 @@ from textloom.llm import p01_pair_defects as p1
 from textloom.llm import p02_sentences as p2
 from textloom.llm import p03_consistent_form as p3
 from textloom.llm import p04_split_oversized as p4
+from textloom.llm import p05_alignment as p5
 from textloom.llm import p06_format_duplicates as p6
 from textloom.llm import p07_term_frequency as p7
 from textloom.llm import p08_byte_bpe as p8
@@ -57,6 +58,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where(F.col("piece") == 0).select("rec_id", "cut_kind")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5.align_segments(table(spark, d, "memory_sentences"))
+
+
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return p6.format_groups(table(spark, d, "memory_lines"))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_pieces": p4_pieces,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_records": p6_records,
     "p6_found": p6_found,
     "p7_frequency": p7_frequency,
