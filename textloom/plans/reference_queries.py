@@ -1,36 +1,14 @@
-"""Queries of the reference's operators over the driver's tables, with their SQL counterparts."""
+"""All queries of the reference's operators over the driver's tables, with their SQL counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from textloom.session import table
+from textloom.plans import text_queries
 
+_MODULES = (text_queries,)
 
-def q_lang_profile(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
-    return (
-        lines.where(F.col("line").rlike(r"(?U)\p{L}"))
-        .groupBy("lang")
-        .agg(
-            F.count("*").alias("paragraphs"),
-            F.sum(F.regexp_count("line", F.lit("[A-Za-z]")).cast("bigint")).alias("latin_letters"),
-            F.sum(F.octet_length("line").cast("bigint")).alias("bytes"),
-            F.sum(F.length("line").cast("bigint")).alias("chars"),
-        )
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"q_lang_profile": q_lang_profile}
-ORACLE: dict[str, str] = {
-    "q_lang_profile": r"""
-      WITH lines AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)
-      SELECT lang, count(*) AS paragraphs,
-        sum(length(regexp_replace(line, '[^A-Za-z]', '', 'g')))::BIGINT AS latin_letters,
-        sum(strlen(line))::BIGINT AS bytes, sum(length(line))::BIGINT AS chars
-      FROM lines WHERE regexp_matches(line, '\pL') GROUP BY lang
-    """,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
