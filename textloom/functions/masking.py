@@ -2,61 +2,73 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import patterns as P
-from textloom.functions.text import token
 
 #: Stands between pieces while a text is taken apart; one that the text holds itself is hidden behind HIDDEN.
 CUT, HIDDEN = "\u0001", "\u0002\u0003"
 
 
+_SENTINEL = regex.compile(P.SENTINEL)
+#: Characters without which an alternative of the mask cannot match; it is left out of the search then.
+_NEEDS = ("®™©", None, ":", "@", "\\", "{", "%")
+
+
+@lru_cache(maxsize=256)
+def _search(present: tuple[bool, ...]) -> regex.Pattern:
+    kept = [a for a, use in zip(P.FREEZE_ALTERNATIVES, present + (True,) * len(P.FREEZE_ALTERNATIVES)) if use]
+    return regex.compile("|".join([P.SENTINEL, *kept]))
+
+
+def _matches(text: str):
+    present = tuple(need is None or any(c in text for c in need) for need in _NEEDS)
+    return _search(present).finditer(text)
+
+
+FROZEN = "frozen string, nt array<struct<token:string,original:string>>, spans array<struct<src_start:int,src_end:int,token:string,original:string>>"
+
+
+def freeze_text(text: str) -> tuple[str, list[dict], list[dict]]:
+    """The frozen text, its tokens with their originals, and the spans in UTF-8 bytes."""
+    tokens: dict[str, str] = {}
+    pieces, spans, at, offset = [], [], 0, 0
+    for m in _matches(text):
+        gap, found = text[at : m.start()], m.group()
+        pieces.append(gap)
+        start = offset + len(gap.encode())
+        offset = start + len(found.encode())
+        at = m.end()
+        if _SENTINEL.fullmatch(found):
+            pieces.append(found)
+            continue
+        name = tokens.setdefault(found, f"<<MT_NT:{len(tokens) + 1:0{P.NT_WIDTH}d}>>")
+        pieces.append(name)
+        spans.append({"src_start": start, "src_end": offset, "token": name, "original": found})
+    pieces.append(text[at:])
+    return "".join(pieces), [{"token": t, "original": o} for o, t in tokens.items()], spans
+
+
+def _frozen(texts: pd.Series) -> pd.DataFrame:
+    done = [(None, None, None) if t is None else freeze_text(t) for t in texts]
+    return pd.DataFrame(done, columns=["frozen", "nt", "spans"])
+
+
 def frozen(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with ``frozen`` (text), ``nt`` array<struct(token, original)> and ``spans`` array<struct(src_start,
     src_end, token, original)>.
 
     Equal originals share a token, numbered by first occurrence; tokens already in the text stay and are not
-    numbered; starts and ends count UTF-8 bytes. Null gives nulls, the empty string no tokens. Steps are columns of
-    their own, so that no step is worked out again for every element of another.
+    numbered; starts and ends count UTF-8 bytes. Null gives nulls, the empty string no tokens. One pass in Python
+    over Arrow batches: array lambdas would go over all matches again for every match.
     """
-    is_sentinel = lambda m: m.rlike(f"^{P.SENTINEL}$")
-    text = F.col(text_col)
-    step = df.withColumns(
-        {
-            "_found": F.regexp_extract_all(text, F.lit(P.FREEZE), F.lit(0)),
-            "_plain": F.split(F.regexp_replace(F.replace(text, F.lit(CUT), F.lit(HIDDEN)), P.FREEZE, CUT), CUT, -1),
-        }
-    )
-    step = step.withColumns(
-        {
-            "_plain": F.transform("_plain", lambda s: F.replace(s, F.lit(HIDDEN), F.lit(CUT))),
-            "_originals": F.array_distinct(F.filter("_found", lambda m: ~is_sentinel(m))),
-        }
-    )
-    name = lambda m: F.when(is_sentinel(m), m).otherwise(token("NT", F.array_position(F.col("_originals"), m).cast("int")))
-    step = step.withColumns(
-        {
-            "_tokens": F.transform("_found", name),
-            # Bytes of each literal piece and of each match; every pair's end is a prefix sum over these.
-            "_wide": F.transform(F.arrays_zip("_plain", "_found"), lambda p: F.struct(F.octet_length(p["_plain"]).alias("l"), F.coalesce(F.octet_length(p["_found"]), F.lit(0)).alias("m"))),
-        }
-    )
-    ends = F.transform("_found", lambda m, i: F.aggregate(F.slice("_wide", F.lit(1), i + 1), F.lit(0), lambda acc, w: acc + w["l"] + w["m"]))
-    step = step.withColumn("_ends", ends)
-    spans = F.transform(
-        F.arrays_zip("_found", "_tokens", "_ends"),
-        lambda p: F.struct(
-            (p["_ends"] - F.octet_length(p["_found"])).alias("src_start"), p["_ends"].alias("src_end"), p["_tokens"].alias("token"), p["_found"].alias("original")
-        ),
-    )
-    return step.withColumns(
-        {
-            "frozen": F.array_join(F.transform(F.arrays_zip("_plain", "_tokens"), lambda p: F.concat(p["_plain"], F.coalesce(p["_tokens"], F.lit("")))), ""),
-            "nt": F.transform("_originals", lambda o, i: F.struct(token("NT", i + 1).alias("token"), o.alias("original"))),
-            "spans": F.filter(spans, lambda s: ~is_sentinel(s["original"])),
-        }
-    ).drop("_found", "_plain", "_originals", "_tokens", "_wide", "_ends")
+    out = df.withColumn("_f", F.pandas_udf(_frozen, FROZEN)(F.col(text_col)))
+    return out.select(*df.columns, "_f.frozen", "_f.nt", "_f.spans")
 
 
 def unfreeze(text: Column, nt_map: Column) -> Column:

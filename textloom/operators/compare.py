@@ -6,20 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _counts(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """How often both sides have each row: one aggregation with map-side counts."""
+    ones = left.select(*columns, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(*columns, F.lit(0).alias("l"), F.lit(1).alias("r"))
+    )
+    return ones.groupBy(*columns).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+
+
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one side has more often than the other: ``change`` is missing (left only) or extra (right only)."""
-    columns = left.columns
-    missing = left.exceptAll(right.select(columns)).withColumn("change", F.lit("missing"))
-    return missing.unionByName(right.select(columns).exceptAll(left).withColumn("change", F.lit("extra")))
+    """Rows that one side has more often than the other, as often as they exceed it: ``change`` is missing (left
+    only) or extra (right only). Null equals null."""
+    surplus = F.col("l") - F.col("r")
+    rows = _counts(left, right, left.columns).where(surplus != 0)
+    change = F.when(surplus > 0, "missing").otherwise("extra")
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs(surplus)))
+    return rows.select(*left.columns, change.alias("change"), times.alias("time")).drop("time")
 
 
 def multiset_recall(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key: items of both sides, those found in both by count, missing and extra. One aggregation over counts
     instead of two set differences."""
-    ones = left.select(*keys, value, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(*keys, value, F.lit(0).alias("l"), F.lit(1).alias("r"))
-    )
-    counts = ones.groupBy(*keys, value).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    counts = _counts(left, right, [*keys, value])
     return counts.groupBy(*keys).agg(
         F.sum("l").alias("left_items"),
         F.sum("r").alias("right_items"),
