@@ -39,6 +39,8 @@ LAST_WORD = re.compile(r"[^\s(\[{„“\"'«「『（]*$")
 EDGE = " \t\x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\ufeff"
 PAIRS = {"„": "“", "“": "”", "‘": "’", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉"}
 CLOSERS = frozenset("”’」』）)]】》〉»")
+#: What ends inside brackets does not end the sentence around them, where no capital says that another begins.
+BRACKETS = frozenset(")）]】》〉")
 MARKS = re.compile("[\"„“”‘’«»「」『』()（）\\[\\]【】《》〈〉]")
 
 # Weights of the model.
@@ -133,10 +135,10 @@ def _point(line: str, start: int, at: int, run: int, gap: bool, kind: str, close
     if tail in MAY_END or bare in MAY_END:
         return FAIR if gap else NEVER
     if tail.isdigit():
+        before = line[max(start, at - 30) : at - len(word)].split()
         if not gap:
-            return FAIR if kind in ("upper", "quote") and len(word) > 2 else NEVER
+            return FAIR if kind in ("upper", "quote") and before else NEVER
         if len(word) <= 2:
-            before = line[max(start, at - 30) : at - len(word)].split()
             if not before or before[-1].lower() in ORDINAL_BEFORE or re.fullmatch(r"\d+\.", before[-1]):
                 return NEVER
         return GOOD
@@ -188,7 +190,7 @@ def split_line(line: str, start: int, end: int) -> list[tuple[int, int]]:
                 score = GOOD if kind in ("upper", "letter", "quote") else NEVER
         else:
             score = NEVER if kind == "mark" and ch in "，、；：,;:.。…—-" else STRONG
-        if closed and score > 0 and CONTINUES.match(line, q):
+        if closed and score > 0 and (CONTINUES.match(line, q) or (kind == "letter" and line[p - 1] in BRACKETS)):
             score = NEVER
         if score > NEVER:
             found.append((p, q, score - OPEN_COST * depth(p)))

@@ -166,7 +166,8 @@ def consistent_form(df: DataFrame, text_col: str, out_col: str = "canonical") ->
     some = df.where(touched).withColumn("text_key", F.md5(text_col))
     rest = df.where(~touched | F.col(text_col).isNull()).withColumn(out_col, F.col(text_col))
     texts = some.select("text_key", F.col(text_col).alias("text")).dropDuplicates(["text_key"])
-    done = some.join(rebuild(texts), "text_key").withColumn(out_col, F.col("rebuilt")).drop("text_key", "rebuilt")
+    # A text of invisible characters alone has nothing left to rebuild: its form is the empty string.
+    done = some.join(rebuild(texts), "text_key", "left").withColumn(out_col, F.coalesce("rebuilt", F.lit(""))).drop("text_key", "rebuilt")
     return rest.unionByName(done)
 
 
@@ -178,6 +179,7 @@ def rebuild(texts: DataFrame) -> DataFrame:
         texts.select("text_key", F.posexplode(F.split("text", "")).alias("pos", "ch"))
         .join(maps, "ch", "left")
         .select("text_key", "pos", F.posexplode(F.split(F.coalesce("target", "ch"), "")).alias("sub", "unit"))
+        .where("unit <> ''")
         .join(classes, "unit", "left")
         .withColumn("ccc", F.coalesce("ccc", F.lit(0)))
     )

@@ -119,6 +119,11 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool
             return tokens[i][0]
         return p
 
+    def behind(p: int) -> int:
+        """``p``, or the end of the token that it would cut."""
+        i = bisect_left(token_starts, p) - 1
+        return tokens[i][1] if i >= 0 and tokens[i][0] < p < tokens[i][1] else p
+
     pieces, start, done = [], 0, 0
     while True:
         if offsets[-1] - offsets[start] <= limit:
@@ -138,7 +143,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool
         pieces.append((start, end, forced))
         done = end
         back = bisect_left(offsets, max(offsets[start] + 1, offsets[end] - overlap))
-        start = min(whole(back, 0), end)
+        start = min(behind(back), end)
         if start <= pieces[-1][0]:
             start = end
 

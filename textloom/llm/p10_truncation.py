@@ -179,9 +179,11 @@ def judge_endings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "doc_id bigint, source string, n_chars int, n_bytes int, ends string, forms array<string>, closing string",
         ).withColumn("row", F.monotonically_increasing_id())
     )
+    docs = _at_spike(docs, length_spikes(docs))
     whole = rows.select("text").mapInArrow(_whole_forms, "form string").distinct()
+    # Closings are counted where no limit was met: what a limit cuts off often must not pass for customary.
     customary = (
-        docs.where(F.col("closing").isNotNull())
+        docs.where(F.col("closing").isNotNull() & ~F.col("at_limit"))
         .groupBy("closing")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= F.greatest(F.lit(CLOSING_LEAST), F.lit(CLOSING_SHARE) * docs.count()))
@@ -199,8 +201,7 @@ def judge_endings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     judged = docs.join(vouched.withColumn("whole", F.lit(True)), "row", "left")
     cut = (F.col("ends") == "open") | (F.col("ends").isin("bare", "doubt") & F.col("whole").isNull())
-    at_limit = _at_spike(judged, length_spikes(docs))
-    return at_limit.select("doc_id", "source", cut.alias("cut"), "at_limit")
+    return judged.select("doc_id", "source", cut.alias("cut"), "at_limit")
 
 
 def _at_spike(docs: DataFrame, spikes: DataFrame) -> DataFrame:
