@@ -61,6 +61,68 @@ def segmented_output(text: Column, ids: Column) -> Column:
     return F.when(done["ok"], done["out"])
 
 
+def slot_output(text: Column, ids: Column) -> Column:
+    """The texts behind ``<<MT_SLOT:id>>`` marks, each up to the next id's mark, the last to the end; null if a mark
+    is missing or out of order, or if anything but white space stands before the first."""
+    blank = F.array().cast("array<string>")
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("open"), blank.alias("out"), F.lit(True).alias("ok"))
+
+    def step(state: Column, i: Column) -> Column:
+        mark = F.format_string("<<MT_SLOT:%06d>>", i)
+        a = F.position(mark, text, state["at"])
+        first = state["open"] == 0
+        gap = F.substring(text, F.when(first, F.lit(1)).otherwise(state["open"]), a - F.when(first, F.lit(1)).otherwise(state["open"]))
+        ok = state["ok"] & (a > 0) & (~first | gap.rlike(r"(?U)^\s*$"))
+        after = a + F.length(mark)
+        return F.struct(
+            F.when(ok, after).otherwise(state["at"]).alias("at"),
+            F.when(ok, after).otherwise(state["open"]).alias("open"),
+            F.when(ok & ~first, F.concat(state["out"], F.array(gap))).otherwise(state["out"]).alias("out"),
+            ok.alias("ok"),
+        )
+
+    def finish(state: Column) -> Column:
+        tail = F.substring(text, state["open"], F.length(text) + 1)
+        return F.when(state["ok"], F.when(state["open"] == 0, state["out"]).otherwise(F.concat(state["out"], F.array(tail))))
+
+    return F.aggregate(ids, start, step, finish)
+
+
+def sentence_list(segments: Column, max_bytes: int) -> Column:
+    """``[i] sentence`` lines up to ``max_bytes`` (0: no limit), then ``... (truncated)``."""
+    lines = F.transform(segments, lambda s, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), s["text"], F.lit("\n")))
+    if not max_bytes:
+        return F.array_join(lines, "")
+    start = F.struct(F.lit("").alias("out"), F.lit(True).alias("ok"))
+
+    def step(state: Column, line: Column) -> Column:
+        fits = state["ok"] & (F.octet_length(state["out"]) + F.octet_length(line) <= max_bytes)
+        return F.struct(F.when(fits, F.concat(state["out"], line)).otherwise(state["out"]).alias("out"), fits.alias("ok"))
+
+    return F.aggregate(lines, start, step, lambda s: F.when(s["ok"], s["out"]).otherwise(F.concat(s["out"], F.lit("... (truncated)\n"))))
+
+
+def first_json_object(text: Column) -> Column:
+    """The first JSON object in free text, as text; null if there is none."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        decoder = json.JSONDecoder()
+
+        def find(t: str | None) -> str | None:
+            at = t.find("{") if t else -1
+            while at >= 0:
+                try:
+                    _, end = decoder.raw_decode(t, at)
+                    return t[at:end]
+                except ValueError:
+                    at = t.find("{", at + 1)
+            return None
+
+        return texts.map(find)
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def apply_patches(draft: str, patches: list[dict]) -> tuple[str | None, str | None]:
     """(text, error): sentence patches applied in order to a draft; the first that does not fit stops with its error.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators import model, segments, structure
+from textloom.functions import references
+from textloom.operators import model, projection, segments, structure
 from textloom.plans.text_queries import records
 from textloom.session import table
 from textloom.sources import docx
@@ -97,9 +98,48 @@ def q_accepted(spark: SparkSession, d: str) -> DataFrame:
     return done.groupBy("accepted_from").agg(F.count("*").alias("units"))
 
 
+def q_legal_references(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"])
+    zh = F.col("seg_text").rlike("[一-鿿]")
+    src, tgt = F.when(zh, "zh").otherwise("en"), F.when(zh, "en").otherwise("zh")
+    return rows.select("sent_id", references.legal_reference(F.col("seg_text"), src, tgt).alias("reference"))
+
+
+def q_slot_output(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"]).where("side = 'source'")
+    ordered = F.array_sort(F.collect_list(F.struct("seg_idx", F.concat(F.format_string("<<MT_SLOT:%06d>>", "seg_idx"), "seg_text").alias("line"))))
+    texts = rows.groupBy("rec_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "").alias("text"), F.array_sort(F.collect_list("seg_idx")).alias("ids"))
+    return texts.select("rec_id", F.array_join(segments.slot_output(F.col("text"), F.col("ids")), "|").alias("parsed"))
+
+
+def q_stitched_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose side a repeats a segment of 24 characters or more while the source at its place is unique."""
+    rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"]).withColumn("n", F.trim(F.regexp_replace("seg_text", r"(?U)\s+", " ")))
+    src = rows.where("side = 'source'").withColumn("s_times", F.count("*").over(Window.partitionBy("rec_id", "n"))).select("rec_id", "seg_idx", F.when(F.length("n") >= 24, F.col("s_times")).otherwise(0).alias("s_times"))
+    out = rows.where("side = 'a' and length(n) >= 24").withColumn("o_times", F.count("*").over(Window.partitionBy("rec_id", "n")))
+    pairs = out.join(src, ["rec_id", "seg_idx"])
+    return pairs.groupBy("rec_id").agg(F.max((F.col("o_times") >= 2) & (F.col("s_times") <= 1)).alias("duplicated"))
+
+
+def q_first_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "memory_lines").select("line_id", F.concat(F.lit("answer: "), "payload", F.lit(" }")).alias("text"))
+    found = segments.first_json_object(F.col("text"))
+    return rows.select("line_id", F.trim(F.lower(F.get_json_object(found, "$.tu_kind"))).alias("kind"), F.get_json_object(found, "$.tu_id").cast("int").alias("tu_id"))
+
+
+def q_projected(spark: SparkSession, d: str) -> DataFrame:
+    """Translations cut by the byte weights of their source's sentences: sizes of all pieces add up."""
+    rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"])
+    weights = rows.where("side = 'source'").groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.octet_length("seg_text").alias("w")))), lambda s: s["w"]).alias("weights"))
+    texts = records(spark, d, "translation_a").join(weights, "rec_id")
+    cut = projection.projected(F.col("translation_a"), F.col("weights"))
+    return texts.select("rec_id", F.array_join(cut, "").alias("text"), F.size(cut).alias("pieces"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (q_docx_entries, q_docx_paragraphs, q_markup_roundtrip, q_slots, q_sentence_segments, q_segmented_output, q_patches, q_accepted)
+    for f in (q_docx_entries, q_docx_paragraphs, q_markup_roundtrip, q_slots, q_sentence_segments, q_segmented_output, q_patches, q_accepted,
+              q_legal_references, q_slot_output, q_stitched_duplicates, q_first_json, q_projected)
 }
 
 _FILES = "(SELECT DISTINCT rec_id, file_id, tu_id, para_style, source_surface AS s FROM paragraph_memory WHERE source_surface IS NOT NULL)"
@@ -128,4 +168,23 @@ ORACLE: dict[str, str] = {
       SELECT rec_id, string_agg(seg_text, '|' ORDER BY seg_idx) AS parsed
       FROM (SELECT DISTINCT sent_id, rec_id, seg_idx, seg_text FROM memory_sentences WHERE side = 'source') GROUP BY rec_id
     """,
+    "q_slot_output": """
+      SELECT rec_id, string_agg(seg_text, '|' ORDER BY seg_idx) AS parsed
+      FROM (SELECT DISTINCT sent_id, rec_id, seg_idx, seg_text FROM memory_sentences WHERE side = 'source') GROUP BY rec_id
+    """,
+    "q_stitched_duplicates": rf"""
+      WITH s AS (SELECT DISTINCT sent_id, rec_id, side, seg_idx, trim(regexp_replace(seg_text, '{_WS}+', ' ', 'g')) AS n FROM memory_sentences),
+      a AS (SELECT rec_id, seg_idx, CASE WHEN length(n) >= 24 THEN count(*) OVER (PARTITION BY rec_id, n) ELSE 0 END AS st FROM s WHERE side = 'source'),
+      o AS (SELECT rec_id, seg_idx, count(*) OVER (PARTITION BY rec_id, n) AS ot FROM s WHERE side = 'a' AND length(n) >= 24)
+      SELECT rec_id, bool_or(ot >= 2 AND st <= 1) AS duplicated FROM o JOIN a USING (rec_id, seg_idx) GROUP BY rec_id
+    """,
+    "q_first_json": r"""
+      SELECT line_id, trim(lower(json_extract_string(p, '$.tu_kind'))) AS kind, json_extract_string(p, '$.tu_id')::INT AS tu_id
+      FROM (SELECT line_id, regexp_replace(payload, '^\x{feff}+', '') AS p FROM memory_lines)
+    """,
+    "q_projected": """
+      SELECT rec_id, translation_a AS text, CASE WHEN translation_a IS NULL THEN NULL ELSE n END AS pieces
+      FROM (SELECT DISTINCT rec_id, translation_a FROM paragraph_memory)
+      JOIN (SELECT rec_id, count(DISTINCT sent_id)::INT AS n FROM memory_sentences WHERE side = 'source' GROUP BY rec_id) USING (rec_id)
+    """,
 }
