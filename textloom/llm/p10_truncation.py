@@ -9,6 +9,7 @@ line that is followed by another line was never cut, so its form is a whole line
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ SPIKE_REACH = 40
 SALTS = 16
 #: A form of last line that this share of all texts have is a customary closing, if at least so many do.
 CLOSING_SHARE, CLOSING_LEAST = 0.001, 3
+#: Distinct exact forms per line from which the names masked in a form count as varying.
+VARIED_SHARE = 0.2
 
 
 def _digits(line: str) -> str:
@@ -123,19 +126,33 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forms of all lines that are followed by another visible line, each once per batch."""
+    """Forms of all lines that are followed by another visible line, with the exact form of the line for forms that
+    mask names, and counts; each once per batch."""
     for batch in batches:
-        known: set[str] = set()
+        known: Counter[tuple[str, str]] = Counter()
         for text in batch.column(0).to_pylist():
             lines = [s for line in LINE.findall(text or "") if (s := line.strip(EDGE))]
             for line in lines[:-1]:
                 if FULL_END.search(line):
                     key = doubtful_end(line)
                     if key:
-                        known.add(key)
+                        known[key, ""] += 1
                 else:
-                    known.update(line_forms(line))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(known), pa.string())], names=["form"])
+                    forms = line_forms(line)
+                    for form in forms:
+                        known[form, forms[0] if form[0] == "m" else ""] += 1
+        forms, exact = zip(*known) if known else ((), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(forms, pa.string()), pa.array(exact, pa.string()), pa.array(list(known.values()), pa.int64())], names=["form", "exact", "n"]
+        )
+
+
+def _known(forms: DataFrame) -> DataFrame:
+    """The forms that vouch for a last line. One that masks names does so only if names in it vary, as in ``Prepared
+    by X``: where few exact forms make up many lines, as headings do, a last line must have one of those."""
+    exact = forms.groupBy("form", "exact").agg(F.sum("n").alias("n"))
+    kinds = exact.groupBy("form").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    return kinds.where(~F.col("form").startswith("m") | (F.col("kinds") >= VARIED_SHARE * F.col("n"))).select("form")
 
 
 def length_spikes(lengths: DataFrame) -> DataFrame:
@@ -180,14 +197,17 @@ def judge_endings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ).withColumn("row", F.monotonically_increasing_id())
     )
     docs = _at_spike(docs, length_spikes(docs))
-    whole = rows.select("text").mapInArrow(_whole_forms, "form string").distinct()
+    whole = _known(rows.select("text").mapInArrow(_whole_forms, "form string, exact string, n bigint"))
     # Closings are counted where no limit was met: what a limit cuts off often must not pass for customary.
-    customary = (
+    lines = (
         docs.where(F.col("closing").isNotNull() & ~F.col("at_limit"))
-        .groupBy("closing")
+        .groupBy(F.concat(F.lit("c"), "closing").alias("form"), F.get("forms", F.lit(0)).alias("exact"))
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= F.greatest(F.lit(CLOSING_LEAST), F.lit(CLOSING_SHARE) * docs.count()))
-        .select(F.concat(F.lit("c"), "closing").alias("form"))
+    )
+    enough = F.col("n") >= F.greatest(F.lit(CLOSING_LEAST), F.lit(CLOSING_SHARE) * docs.count())
+    by_form = lines.groupBy("form").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    customary = by_form.where(enough & (F.col("kinds") >= VARIED_SHARE * F.col("n"))).select("form").unionByName(
+        lines.where(enough).select(F.col("exact").alias("form"))
     )
     asked = docs.select(
         "row", F.explode(F.concat(F.col("forms"), F.when(F.col("closing").isNotNull(), F.array(F.concat(F.lit("c"), "closing"))).otherwise(F.array().cast("array<string>")))).alias("form")
