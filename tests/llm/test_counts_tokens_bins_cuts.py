@@ -134,3 +134,29 @@ def test_cut_texts_are_found(spark):
     rates = {r["source"]: r["cut"] for r in p10.truncation_rates(df).collect()}
     assert set(rates) == {"a", "b", None} and sum(rates.values()) == len([1 for r in judged.where("cut").collect()])
     assert p10.judge_endings(df.limit(0)).count() == 0
+
+
+def test_closings_of_finite_names_hold_as_the_table_grows(spark):
+    rng = random.Random(11)
+    places = [a + b for a in ("West", "Oster", "Lang", "Nor") for b in ("erby", "holm", "ford", "wick")]
+    months = "January February March April May June July August September October November December".split()
+    rows, truth = [], set()
+    for i in range(1500):
+        body = ["Price and Payment", "Health and Safety", f"The seal {rng.randrange(10**6)} was worn{' and worn' * rng.randrange(60)} and a new one was ordered."]
+        if i % 10:
+            body.append(f"Place and date: {rng.choice(places)}, {rng.randint(1, 28)} {rng.choice(months)} {rng.randint(2000, 2025)}")
+        else:
+            body.append("the " + "".join(rng.choice("abcdefghij") for _ in range(9)))
+            truth.add(i)
+        rows.append((i, "\n".join(body), rng.choice(["a", "b", None])))
+    rows.append((1500, "Notes\nPrice and Pay", "a"))
+    truth.add(1500)
+
+    def found(rows):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+        return {r["doc_id"] for r in p10.judge_endings(df).where("cut").collect()}
+
+    assert found(rows) == truth
+    few = rows[:150]
+    assert found(few) == {i for i in truth if i < 150}
+    assert found([(10_000 * k + i, *rest) for k in range(10) for i, *rest in few]) == {10_000 * k + i for k in range(10) for i in truth if i < 150}

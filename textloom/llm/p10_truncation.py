@@ -30,8 +30,9 @@ SPIKE_REACH = 40
 SALTS = 16
 #: A form of last line that this share of all texts have is a customary closing, if at least so many do.
 CLOSING_SHARE, CLOSING_LEAST = 0.001, 3
-#: Distinct exact forms per line from which the names masked in a form count as varying.
-VARIED_SHARE = 0.2
+#: Names masked in a form vary if two of its lines agree in their exact form at most this often, as they do where
+#: 20 exact forms are equally common.
+SAME_SHARE = 0.05
 
 
 def _digits(line: str) -> str:
@@ -120,8 +121,9 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.list_(pa.string())),
                 pa.array([f[2] for f in found], pa.string()),
+                batch.column(5),
             ],
-            names=["doc_id", "source", "n_chars", "n_bytes", "ends", "forms", "closing"],
+            names=["doc_id", "source", "n_chars", "n_bytes", "ends", "forms", "closing", "same"],
         )
 
 
@@ -147,12 +149,24 @@ def _whole_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _varied(exact: DataFrame) -> DataFrame:
+    """(form, n, varied) of (form, exact, n): whether exact forms vary within a form. The measure is the share of
+    pairs of lines that have the same exact form. Its expectation does not depend on the number of lines, as the
+    number of exact forms per line does: names drawn from a finite set run out while lines grow."""
+    pairs = F.sum(F.col("n") * (F.col("n") - 1.0))
+    return (
+        exact.groupBy("form", "exact")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("form")
+        .agg(F.sum("n").alias("n"), pairs.alias("same"))
+        .select("form", "n", ((F.col("n") > 1) & (F.col("same") <= SAME_SHARE * F.col("n") * (F.col("n") - 1.0))).alias("varied"))
+    )
+
+
 def _known(forms: DataFrame) -> DataFrame:
     """The forms that vouch for a last line. One that masks names does so only if names in it vary, as in ``Prepared
     by X``: where few exact forms make up many lines, as headings do, a last line must have one of those."""
-    exact = forms.groupBy("form", "exact").agg(F.sum("n").alias("n"))
-    kinds = exact.groupBy("form").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-    return kinds.where(~F.col("form").startswith("m") | (F.col("kinds") >= VARIED_SHARE * F.col("n"))).select("form")
+    return _varied(forms).where(~F.col("form").startswith("m") | F.col("varied")).select("form")
 
 
 def length_spikes(lengths: DataFrame) -> DataFrame:
@@ -180,7 +194,8 @@ def judge_endings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, source, cut, at_limit): every row, whether its text was cut, and whether its length is at a spike.
 
     Null, empty and blank texts are not cut. Every row is judged by itself, repeated ids and texts too; a null
-    source is a source of its own; an empty table gives no rows; other columns are not read.
+    source is a source of its own; an empty table gives no rows; other columns are not read. What the corpus shows
+    is counted over distinct texts, so repeating a table changes no judgement.
     """
     rows = spread(
         df.select(
@@ -189,24 +204,25 @@ def judge_endings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col(text_col).cast("string").alias("text"),
         )
     )
-    texts = rows.select("doc_id", "source", "text", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"))
+    texts = rows.select("doc_id", "source", "text", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("same"))
     docs = cut_lineage(
         texts.mapInArrow(
             _endings,
-            "doc_id bigint, source string, n_chars int, n_bytes int, ends string, forms array<string>, closing string",
+            "doc_id bigint, source string, n_chars int, n_bytes int, ends string, forms array<string>, closing string, same bigint",
         ).withColumn("row", F.monotonically_increasing_id())
     )
-    docs = _at_spike(docs, length_spikes(docs))
-    whole = _known(rows.select("text").mapInArrow(_whole_forms, "form string, exact string, n bigint"))
+    docs = _at_spike(docs, length_spikes(docs.select("source", "n_chars", "n_bytes", "same").distinct()))
+    whole = _known(df.select(F.col(text_col).cast("string").alias("text")).distinct().mapInArrow(_whole_forms, "form string, exact string, n bigint"))
     # Closings are counted where no limit was met: what a limit cuts off often must not pass for customary.
     lines = (
         docs.where(F.col("closing").isNotNull() & ~F.col("at_limit"))
-        .groupBy(F.concat(F.lit("c"), "closing").alias("form"), F.get("forms", F.lit(0)).alias("exact"))
+        .select(F.concat(F.lit("c"), "closing").alias("form"), F.get("forms", F.lit(0)).alias("exact"), "same")
+        .distinct()
+        .groupBy("form", "exact")
         .agg(F.count("*").alias("n"))
     )
-    enough = F.col("n") >= F.greatest(F.lit(CLOSING_LEAST), F.lit(CLOSING_SHARE) * docs.count())
-    by_form = lines.groupBy("form").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-    customary = by_form.where(enough & (F.col("kinds") >= VARIED_SHARE * F.col("n"))).select("form").unionByName(
+    enough = F.col("n") >= F.greatest(F.lit(CLOSING_LEAST), F.lit(CLOSING_SHARE) * docs.select("same").distinct().count())
+    customary = _varied(lines).where(enough & F.col("varied")).select("form").unionByName(
         lines.where(enough).select(F.col("exact").alias("form"))
     )
     asked = docs.select(
