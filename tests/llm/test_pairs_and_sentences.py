@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -113,6 +114,39 @@ def test_long_line_is_split_quickly():
     assert len(p2.sentence_spans(text)) >= 20_000
 
 
+def test_long_quotation_stays_in_its_sentence():
+    text = "通知写道：“" + "停工。" * 60 + "”，并张贴。压力上升。"
+    assert [text[a:b] for a, b in p2.sentence_spans(text)] == [text[:-5], "压力上升。"]
+
+
+def test_spans_are_the_best_of_all():
+    def score(spans, found, start, end):
+        own = {p: s for p, _, s in found}
+        return sum(own.get(b, 0.0) - p2._span_cost(b - a) for a, b in spans)
+
+    rng = random.Random(5)
+    for _ in range(300):
+        found, at = [], 0
+        for _ in range(rng.randint(1, 150)):
+            p = at + rng.choice([1, 2, 4, 12, 40])
+            at = p + rng.randint(0, 2)
+            found.append((p, at, rng.choice([3.0, 2.0, 1.5, 0.5, -1.0, -2.0, -2.5, -3.5, -5.0]) if rng.random() < 0.3 else -1.0))
+        end = at + rng.randint(1, 9)
+        opens, closes, own = [0] + [q for _, q, _ in found], [p for p, _, _ in found] + [end], [s for *_, s in found] + [0.0]
+        best = [0.0]
+        for j, close in enumerate(closes):
+            best.append(max(best[i] + own[j] - p2._span_cost(close - opens[i]) for i in range(j + 1) if close > opens[i]))
+        assert abs(score(p2._best_spans(found, 0, end), found, 0, end) - best[-1]) < 1e-6
+
+
+@pytest.mark.parametrize("opening", ["“", "“（", ""])
+def test_long_line_with_open_marks_is_split_quickly(opening):
+    text = opening + "停工。Leave now. " * 20_000
+    began = time.monotonic()
+    p2.sentence_spans(text)
+    assert time.monotonic() - began < 20
+
+
 def test_split_sentences_operator(spark):
     rows = [(1, "One. Two.  ", "k"), (None, "Three.", "k"), (2, None, "k"), (3, "", "k"), (1, "One. Two.  ", "k")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, suffix string")

@@ -47,9 +47,8 @@ MARKS = re.compile("[\"„“”‘’«»「」『』()（）\\[\\]【】《》
 STRONG, GOOD, FAIR, NEVER = 3.0, 2.0, 1.5, -9.0
 OPEN_COST = 4.0
 SHORT_COST, LONG_FROM, LONG_STEP = 4.0, 400, 150.0
-#: A span that passes so many candidates has lost more than any penalty can be worth, so the search looks no
-#: further back: 4 strong marks missed cost 12, the most that an open quotation and a short span can cost together.
-LOOK_BACK = 48
+#: Differences of scores below this are rounding.
+ROUNDING = 1e-9
 
 
 class _Depth:
@@ -211,7 +210,11 @@ def _span_cost(length: int) -> float:
 
 def _best_spans(found: list[tuple[int, int, float]], start: int, end: int) -> list[tuple[int, int]]:
     """The spans of the highest total score. Where every candidate has a positive score and no span between
-    neighbours costs anything, taking all of them is that best choice, and the search is not needed."""
+    neighbours costs anything, taking all of them is that best choice, and the search is not needed.
+
+    The search is bounded by the scores alone, so its choice is the best of all. A span's cost grows by at most 1 /
+    LONG_STEP a character: a start whose score lies further below an earlier one's than that can make up is dropped
+    for good. Looking back ends where no earlier start can reach the best choice found."""
     opens = [start] + [q for _, q, _ in found]
     closes = [p for p, _, _ in found] + [end]
     scores = [s for *_, s in found] + [0.0]
@@ -220,14 +223,23 @@ def _best_spans(found: list[tuple[int, int, float]], start: int, end: int) -> li
     n = len(closes)
     best = [0.0] + [float("-inf")] * n
     back = [0] * (n + 1)
+    # Starts still worth a look; up to each, the best score, and the best of score and place for spans beyond LONG_FROM.
+    starts, highest, reach = [0], [0.0], [opens[0] / LONG_STEP]
     for j in range(1, n + 1):
         close, own = closes[j - 1], scores[j - 1]
-        for i in range(max(0, j - LOOK_BACK), j):
-            if close <= opens[i]:
-                continue
-            value = best[i] + own - _span_cost(close - opens[i])
-            if value > best[j]:
-                best[j], back[j] = value, i
+        for k in range(len(starts) - 1, -1, -1):
+            i = starts[k]
+            if close > opens[i]:
+                value = best[i] + own - _span_cost(close - opens[i])
+                # Of equal choices the longest span is taken.
+                if value >= best[j]:
+                    best[j], back[j] = value, i
+            if k and own + min(highest[k - 1], reach[k - 1] - (close - LONG_FROM) / LONG_STEP) < best[j] - ROUNDING:
+                break
+        if j < n and best[j] + opens[j] / LONG_STEP >= reach[-1] - ROUNDING:
+            starts.append(j)
+            highest.append(max(highest[-1], best[j]))
+            reach.append(max(reach[-1], best[j] + opens[j] / LONG_STEP))
     spans, j = [], n
     while j:
         i = back[j]
