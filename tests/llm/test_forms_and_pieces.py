@@ -139,6 +139,14 @@ def test_duplicates_by_format(spark):
     assert p6.format_copies(df.limit(0)).count() == 0
 
 
+def test_items_with_long_labels_lose_their_order(spark):
+    label = "pressure measured at the outlet of the second stage of the main pump of the plant"
+    assert len(label) > 64
+    texts = [f"{label}: 9 bar; seal: worn", f"Seal: worn | {label}: 9 bar", f"{label}: 9 bar; seal: new"]
+    rows = [(i, '{"tu_kind":"other","原文":"%s"}' % t) for i, t in enumerate(texts, 1)]
+    assert list(map(tuple, p6.format_copies(lines(spark, rows)).collect())) == [(1, 2)]
+
+
 def test_hot_key_equals_brute_force(spark):
     rng = random.Random(6)
     texts = ["Notice one.", "notice  ONE", "(Notice one!)", "Notice 1.2", "Notice 12"]

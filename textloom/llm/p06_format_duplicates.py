@@ -14,7 +14,7 @@ from textloom.session import cut_lineage
 
 #: A mark between two digits belongs to the number; every other mark, and white or invisible characters, do not count.
 FORMATTING = r"(?U)(?:(?<!\p{Nd})[\p{P}|^`~｜]|[\p{P}|^`~｜](?!\p{Nd})|[\s\p{Z}\p{Cc}\p{Cf}])"
-ITEM = r"(?U)^[^:：]{1,64}[:：].*\S"
+ITEM = r"(?U)^[^:：]+[:：].*\S"
 SEPARATOR = "[;；|｜]"
 #: Rows of one key above which the key is hot and is salted.
 HOT_ROWS = 50_000
