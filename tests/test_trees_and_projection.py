@@ -38,6 +38,16 @@ def test_styles_inherit_and_stop_in_circles(spark):
     assert got == {("d", "a"): 2, ("d", "b"): 2, ("d", "c"): 2, ("d", "x"): None, ("d", "y"): None, ("d", "z"): None, ("e", "a"): 1}
 
 
+@pytest.mark.parametrize("length", [32, 33, 34, 100])
+def test_styles_inherit_along_long_chains(spark, length):
+    rows = [("d", f"s{i}", f"s{i + 1}", None) for i in range(length)] + [("d", f"s{length}", None, 3)]
+    rows += [("d", f"c{i}", f"c{(i + 1) % 5}", None) for i in range(5)] + [("d", "into", "c0", None), ("e", "s0", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, style_id string, based_on string, outline int")
+    got = {(r["doc_id"], r["style_id"]): r["outline"] for r in tree.inherited_outline(df).collect()}
+    assert got == {(d, s): 1 if d == "e" else 3 if s[0] == "s" else None for d, s, *_ in rows}
+    assert tree.inherited_outline(df.limit(0)).count() == 0
+
+
 def test_sections_carry_their_stories(spark):
     refs = spark.createDataFrame([("d", 1, "header", "r1"), ("d", 2, "header", None), ("d", 3, "header", "r2"), ("d", 1, "footer", None)], "doc_id string, section int, story string, rid string")
     rels = spark.createDataFrame([("d", "r1", "h1"), ("d", "r2", "h2")], "doc_id string, rid string, part_name string")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import cut_lineage
+
 TREE = "doc_id string, part_name string, node_id int, parent_id int, kind string, para_id int, level int, num_id int, text string"
 
 
@@ -75,17 +77,21 @@ def structure_tree(paragraphs: DataFrame) -> DataFrame:
     return rows.repartition("doc_id", "part_name").sortWithinPartitions("doc_id", "part_name", "event_index").mapInArrow(grow, TREE)
 
 
-def inherited_outline(styles: DataFrame, depth: int = 32) -> DataFrame:
+def inherited_outline(styles: DataFrame, depth: int | None = None) -> DataFrame:
     """(doc_id, style_id, outline) of styles (doc_id, style_id, based_on, outline): the first outline up the chain
-    of bases; null where it has none or runs in a circle. One join a step, until no chain goes on."""
-    known = styles.select("doc_id", "style_id", "outline", F.col("based_on").alias("next"))
-    bases = styles.select("doc_id", F.col("style_id").alias("next"), F.col("outline").alias("_o"), F.col("based_on").alias("_n"))
-    for _ in range(depth):
-        known = known.join(bases, ["doc_id", "next"], "left").select(
-            "doc_id", "style_id", F.coalesce("outline", "_o").alias("outline"), F.when(F.coalesce("outline", "_o").isNull(), F.col("_n")).alias("next")
+    of bases; null where it has none or runs in a circle. Every join doubles the steps taken, until no chain goes on.
+    One that still does after as many steps as its document may have styles runs in a circle. ``depth``: the most
+    styles of a document, if known; they are counted otherwise."""
+    known = cut_lineage(styles.select("doc_id", "style_id", "outline", F.when(F.col("outline").isNull(), F.col("based_on")).alias("next")))
+    if depth is None:
+        depth = known.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    steps = 1
+    while steps < depth and not known.where("next is not null").isEmpty():
+        bases = known.select("doc_id", F.col("style_id").alias("next"), F.col("outline").alias("_o"), F.col("next").alias("_n"))
+        known = cut_lineage(
+            known.join(bases, ["doc_id", "next"], "left").select("doc_id", "style_id", F.coalesce("outline", "_o").alias("outline"), F.col("_n").alias("next"))
         )
-        if known.where("next is not null").isEmpty():
-            break
+        steps *= 2
     return known.select("doc_id", "style_id", "outline")
 
 
