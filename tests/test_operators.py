@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -163,3 +164,26 @@ def test_streamed_terms(spark, tmp_path):
     query = streamed_term_events(stream).writeStream.foreachBatch(lambda b, _: out.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(100)
     assert sorted(r[:4] for r in out if r[1] == "conflict") == sorted([("a", "conflict", "x", "y"), ("a", "conflict", "x", "z")]) and sum(r[1] == "added" for r in out) == 1
+
+
+def test_top_values_and_limit_keep_the_first(spark):
+    parts = ["c", "a", "b", "b", "d", "e", "f", "g", "h", "h", "h"]
+    df = spark.createDataFrame([(f, i, p) for f in (1, 2) for i, p in enumerate(parts)] + [(3, 0, None)], "file_id int, tu_id int, part_name string")
+    top = sequence.top_values(df, ["file_id"], "tu_id", "part_name").orderBy("file_id", "rank").collect()
+    assert [(r["part_name"], r["n"]) for r in top if r["file_id"] == 1] == [("h", 3), ("b", 2), ("c", 1), ("a", 1), ("d", 1), ("e", 1)]
+    assert [(r["part_name"], r["n"]) for r in top if r["file_id"] == 3] == [(None, 1)]
+    for most, kept in ((None, 11), (0, 1), (1, 1), (4, 4), (99, 11)):
+        rows = sequence.limited(df, ["file_id"], ["tu_id"], most).where("file_id = 2")
+        assert sorted(r["tu_id"] for r in rows.collect()) == list(range(kept)) and rows.columns == df.columns
+
+
+def test_full_hash_sees_text_and_equals_its_definition(spark):
+    xml = '<?xml version="1.0" encoding="UTF-8"?><!--n--><w:p b="2" a="1"><w:t xml:space="preserve">x &amp; y</w:t>{0}</w:p>'
+    texts = [xml.format("<w:br/>"), xml.format("<w:br></w:br>"), xml.format("<w:br/>").replace("x &", "z &"), xml.format("<w:br/>").replace(' xml:space="preserve"', "")]
+    entries = spark.createDataFrame([(str(i), "word/document.xml", False, bytearray(t.encode())) for i, t in enumerate(texts)], "doc_id string, name string, is_dir boolean, data binary")
+    evs = docx.events(entries)
+    got = {r["doc_id"]: r["hash"] for r in docx.full_hashes(evs).collect()}
+    lines = ["D:1.0|UTF-8|", "M:n", "S:w:p|a=1;b=2;", "S:w:t|xml:space=preserve;", "T:w:t|x & y", "E:w:t", "S:w:br|", "E:w:br", "E:w:p"]
+    assert got["0"] == got["1"] == hashlib.sha256("".join(f"{line}\n" for line in lines).encode()).hexdigest()
+    assert len({got["0"], got["2"], got["3"]}) == 3
+    assert len({r["hash"] for r in docx.structure_hashes(evs).collect()}) == 1

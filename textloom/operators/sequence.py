@@ -14,6 +14,21 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "seq")
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def limited(df: DataFrame, keys: list[str], order: list[str], most: int | None) -> DataFrame:
+    """The first ``most`` rows of each key in document order, one at least; all where ``most`` is None."""
+    if most is None:
+        return df
+    return numbered(df, keys, order, "_seq").where(F.col("_seq") <= max(1, most)).drop("_seq")
+
+
+def top_values(df: DataFrame, keys: list[str], order: str, column: str, k: int = 6) -> DataFrame:
+    """(keys, column, n, rank): the ``k`` most frequent values of ``column`` in each key, those that come first in
+    ``order`` before others as frequent."""
+    counts = df.groupBy(*keys, column).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "_first", column))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= k).drop("_first")
+
+
 def neighbours(df: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
     """``prev_text`` and ``next_text``; null at the ends."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -176,6 +176,29 @@ def structure_hashes(evs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "part_name").agg(F.sha2(joined, 256).alias("hash"))
 
 
+def full_hashes(evs: DataFrame) -> DataFrame:
+    """(doc_id, part_name, hash): SHA-256 over everything the events hold, text with the element it lies in.
+    Attributes are sorted; an empty element equals a start and an end."""
+    attrs = F.array_join(F.transform(F.array_sort("attrs"), lambda a: F.concat(a["k"], F.lit("="), a["v"], F.lit(";"))), "")
+    opened = F.concat(F.lit("S:"), F.col("name"), F.lit("|"), attrs)
+    closed = F.concat(F.lit("E:"), F.col("name"))
+    declared = [F.regexp_extract("text", rf"\b{k}\s*=\s*[\"']([^\"']*)", 1) for k in ("version", "encoding", "standalone")]
+    line = (
+        F.when(F.col("kind") == "start", opened)
+        .when(F.col("kind") == "empty", F.concat_ws("\n", opened, closed))
+        .when(F.col("kind") == "end", closed)
+        .when(F.col("kind") == "text", F.concat(F.lit("T:"), F.element_at(F.split("path", "/"), -1), F.lit("|"), "text"))
+        .when(F.col("kind") == "decl", F.concat(F.lit("D:"), F.concat_ws("|", *declared)))
+        .when(F.col("kind") == "cdata", F.concat(F.lit("C:"), "text"))
+        .when(F.col("kind") == "comment", F.concat(F.lit("M:"), "text"))
+        .when(F.col("kind") == "pi", F.concat(F.lit("P:"), "text"))
+        .otherwise(F.concat(F.lit("Y:"), F.ltrim("text")))
+    )
+    rows = evs.select("doc_id", "part_name", F.struct("event_index", F.concat(line, F.lit("\n")).alias("line")).alias("e"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"]), "")
+    return rows.groupBy("doc_id", "part_name").agg(F.sha2(joined, 256).alias("hash"))
+
+
 def slots(evs: DataFrame) -> DataFrame:
     """Every text, CDATA and list-level text as a slot, numbered by part and event within its document."""
     from pyspark.sql import Window
