@@ -20,7 +20,7 @@ from textloom.session import cut_lineage, spread
 
 #: The defects, the more telling ones first: where only one may stand, it is the first of the kept ones.
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
-#: Posterior cutoffs, validated on planted defects (tests/llm/test_p01.py).
+#: Posterior cutoffs, validated on two planted sets, one held out, over 0.05 to 0.95 (tests/llm/test_p01.py).
 CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copy": 0.5, "wrong_language": 0.5, "truncated": 0.5}
 #: Functions per defect; a defect's patterns number at most 3 to this power, which bounds what reaches the driver.
 FUNCTIONS = {"empty": 3, "refusal": 4, "copy": 4, "wrong_language": 3, "truncated": 4}
