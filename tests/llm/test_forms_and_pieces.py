@@ -12,6 +12,7 @@ LOOKS = ["Ｓｅｃtion ｔwo", "Sectiоn two", "Section two", "Sec​tion two"
 def test_forms_equal_the_specification(spark):
     rng = random.Random(1)
     letters = "aȩ́о⁠Ａ１  ，,é⽉月क़İß한"
+    letters += "ｶﾞ゙（；：\u0344\u0301\u200b"
     texts = LOOKS + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(200)] + ["é" * 3000 + "​"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id bigint, text string, target string")
     got = {r["id"]: r["form"] for r in p3.consistent_form(df, "text", "form").collect()}
@@ -21,7 +22,7 @@ def test_forms_equal_the_specification(spark):
 
 def test_what_looks_the_same_is_one_and_what_does_not_stays():
     assert len({p3.canonical(t) for t in LOOKS[:5]}) == 1
-    assert p3.canonical("é") == "é" != p3.canonical("e") and p3.canonical("A") != p3.canonical("a") and p3.canonical("，") == "，"
+    assert p3.canonical("é") == "é" != p3.canonical("e") and p3.canonical("A") != p3.canonical("a") and p3.canonical("，") == "," and p3.canonical("（ａ；") == "(a;"
     assert p3.canonical("q̣̇") == p3.canonical("q̣̇")
 
 

@@ -3,16 +3,18 @@
 Method: texts are exploded to positioned code points; a broadcast table maps each code point to what it decomposes
 to or looks like; combining marks are ordered by class behind their base; a second broadcast table recomposes each
 base with its marks; the string is rebuilt by position. Code points that map to themselves and combine with nothing
-need none of this, so texts made of them only keep their form as they are, and are not exploded.
+need none of this: texts made of them only keep their form as they are and are not exploded, and within other texts
+a run of them is one positioned unit.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.session import cut_lineage
@@ -30,7 +32,7 @@ LOOK_ALIKES = dict(
 )
 #: Marks that look like a hyphen or an apostrophe; dashes of another width stay what they are.
 LOOK_ALIKE_MARKS = {"‐": "-", "‑": "-", "⁃": "-", "˗": "-", "ʼ": "'", "՚": "'", "∕": "/", "⁄": "/"}
-#: Compatibility decompositions that leave the look of a letter or digit as it is, but for width.
+#: Compatibility decompositions that leave the look as it is, but for width: of letters, digits and marks alike.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>")
 #: Invisible characters.
 INVISIBLE = {0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x180B, 0x180E), *range(0x200B, 0x2010),
@@ -55,8 +57,7 @@ def _step(ch: str) -> str | None:
     kind, *points = form.split()
     target = "".join(chr(int(x, 16)) for x in points)
     if kind in SAME_LOOK:
-        # Letters and digits only: marks of another width (，and ,) are other marks.
-        return target if category[0] in "LNM" else None
+        return target
     # Radicals that look like their ideographs, and ligatures that look like their letters.
     if kind == "<compat>" and (0x2E80 <= code < 0x2FE0 or 0xFB00 <= code < 0xFB07):
         return target
@@ -72,7 +73,7 @@ def _full(ch: str) -> str:
 @cache
 def mapping_table() -> tuple[dict[str, str], dict[str, int]]:
     """(character: what it becomes, for all that do not stay; combining mark: its class). Built from rules over all
-    of Unicode, so the size is fixed: some 12,000 and 900 rows. Hangul syllables stay composed."""
+    of Unicode, so the size is fixed: some 2,800 and 900 rows. Hangul syllables stay composed."""
     changed, marks = {}, {}
     for code in range(0x80, sys.maxunicode + 1):
         if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000:
@@ -103,22 +104,38 @@ EVERYDAY = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0x17F), (0x2013, 0x
             (0x30A1, 0x30FC), (0x4E00, 0x9FFF), (0xFF01, 0xFF1F))
 
 
+def _char_class(points: Iterable[int]) -> str:
+    """A pattern of one character of ascending ``points``."""
+    ranges: list[list[int]] = []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+@cache
+def _stays() -> str:
+    changed, marks = mapping_table()
+    compositions = set(composition_table().values())
+    everyday = (p for low, high in EVERYDAY for p in range(low, high + 1))
+    return _char_class(p for p in everyday if chr(p) not in marks and (chr(p) not in changed or chr(p) in compositions))
+
+
 @cache
 def plain_pattern() -> str:
     """A pattern of the texts that are their own consistent form by their characters alone."""
+    return f"^{_stays()}*+$"
+
+
+@cache
+def unit_pattern() -> str:
+    """A pattern of the positioned units of a text: one code point, or a run of code points that all stay. The last
+    of a run is left to itself where what follows may become a mark on it, or vanish before such a mark."""
     changed, marks = mapping_table()
-    compositions = set(composition_table().values())
-    ranges: list[list[int]] = []
-    for low, high in EVERYDAY:
-        for p in range(low, high + 1):
-            ch = chr(p)
-            if ch in marks or (ch in changed and ch not in compositions):
-                continue
-            if ranges and p == ranges[-1][1] + 1:
-                ranges[-1][1] = p
-            else:
-                ranges.append([p, p])
-    return "^[" + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]*+$"
+    joins = _char_class(sorted({ord(c) for c in marks} | {ord(c) for c, t in changed.items() if not t or t[0] in marks}))
+    return f"(?s){_stays()}+(?!{joins})|."
 
 
 def canonical(text: str) -> str:
@@ -156,7 +173,7 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 def consistent_form(df: DataFrame, text_col: str, out_col: str = "canonical") -> DataFrame:
     """``df`` with ``out_col``: the consistent form of ``text_col``.
 
-    Full-width letters and digits become narrow, invisible characters go, all spaces become U+0020, canonical
+    Full-width characters, punctuation too, become narrow and half-width ones wide, invisible characters go, all spaces become U+0020, canonical
     equivalents and look-alike letters become one; case, accents, digits and wording stay. Null stays null, empty
     stays empty; equal texts are worked out once; rows keep their number and their other columns, of which none may
     be called ``out_col``, ``text_key`` or ``rebuilt``; an empty table gives no rows. Broadcast tables are built from
@@ -176,9 +193,9 @@ def rebuild(texts: DataFrame) -> DataFrame:
     they were in the text; what follows keeps that partitioning."""
     maps, classes, composed = _tables(texts.sparkSession)
     units = (
-        texts.select("text_key", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+        texts.select("text_key", F.posexplode(F.regexp_extract_all("text", F.lit(unit_pattern()), F.lit(0))).alias("pos", "ch"))
         .join(maps, "ch", "left")
-        .select("text_key", "pos", F.posexplode(F.split(F.coalesce("target", "ch"), "")).alias("sub", "unit"))
+        .select("text_key", "pos", F.posexplode(F.when(F.col("target").isNull(), F.array("ch")).otherwise(F.split("target", ""))).alias("sub", "unit"))
         .where("unit <> ''")
         .join(classes, "unit", "left")
         .withColumn("ccc", F.coalesce("ccc", F.lit(0)))
@@ -203,17 +220,23 @@ def rebuild(texts: DataFrame) -> DataFrame:
     )
 
 
-def _classes(forms: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Members (key, string, id), pairs of different strings of one key with their counts, and the number of salts
-    that keeps a string's members below some 200,000 a salt."""
+#: Members of one string above which they are spread over salts, and the salts.
+HOT_STRING, HOT_SALTS = 100_000, 64
+
+
+def _classes(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, string, salt, id), and pairs of different strings of one key with the number of members of
+    each. The members of hot strings have salts above 0; there are at most ``rows / HOT_STRING`` hot strings, which
+    are counted exactly."""
     members = cut_lineage(forms.distinct())
     strings = members.groupBy("key", "string").agg(F.count("*").alias("n"))
     several = strings.groupBy("key").agg(F.count("*").alias("strings")).where("strings > 1").select("key")
     alike = strings.join(several, "key")
     pairs = alike.alias("a").join(alike.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.string") < F.col("b.string")))
-    pairs = pairs.select(F.col("a.key").alias("key"), F.col("a.string").alias("one"), F.col("b.string").alias("other"))
-    most = strings.agg(F.max("n")).first()[0] or 0
-    return members, pairs, 1 + int(most) // 200_000
+    pairs = pairs.select(F.col("a.key").alias("key"), F.col("a.string").alias("one"), F.col("b.string").alias("other"), F.col("a.n").alias("ones"), F.col("b.n").alias("others"))
+    hot = strings.where(F.col("n") > HOT_STRING).select("string", F.lit(HOT_SALTS).alias("salts"))
+    salted = members.join(F.broadcast(hot), "string", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    return salted.select("key", "string", "salt", "id"), pairs
 
 
 def look_alike_records(df: DataFrame, id_col: str = "rec_id", text_col: str = "source_surface") -> DataFrame:
@@ -228,15 +251,16 @@ def look_alike_records(df: DataFrame, id_col: str = "rec_id", text_col: str = "s
     forms = consistent_form(texts, "text", "form").select(
         F.unhex(F.md5("form")).alias("key"), F.unhex(F.md5("text")).alias("string"), "id"
     )
-    members, pairs, salts = _classes(forms)
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    side = members.select("key", "string", salt.alias("salt"), "id")
-    left = pairs.withColumn("salt", every_salt).join(
-        side.select("key", F.col("string").alias("one"), "salt", F.col("id").alias("a")), ["key", "one", "salt"]
+    members, pairs = _classes(forms)
+
+    def with_salts(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.when(F.col(count) > HOT_STRING, HOT_SALTS - 1).otherwise(0)))
+
+    left = pairs.withColumn("salt", with_salts("ones")).join(
+        members.select("key", F.col("string").alias("one"), "salt", F.col("id").alias("a")), ["key", "one", "salt"]
     )
-    both = left.drop("salt").withColumn("salt", every_salt).join(
-        side.select("key", F.col("string").alias("other"), "salt", F.col("id").alias("b")), ["key", "other", "salt"]
+    both = left.withColumn("salt", with_salts("others")).join(
+        members.select("key", F.col("string").alias("other"), "salt", F.col("id").alias("b")), ["key", "other", "salt"]
     )
     return (
         both.where(F.col("a") != F.col("b"))
