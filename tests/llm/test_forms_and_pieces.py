@@ -62,6 +62,43 @@ def test_pieces_cover_overlap_and_keep_tokens():
         assert any(f for *_, f in pieces) == p4.has_long_stretch(text, limit)
 
 
+def test_natural_cuts_are_the_deepest_valleys_of_whole_windows_and_joints_share_the_overlap():
+    rng = random.Random(8)
+    topics = [["bond", "bank", "guarantee", "claim"], ["pump", "seal", "pressure", "outlet"], ["<<MT_NT:0007>>", "notice", "court", "law"]]
+    for n in range(40):
+        sentences = []
+        for k in range(60):
+            words = topics[k // 6 % 3]
+            sentences.append(" ".join(rng.choice(words) for _ in range(rng.randint(3, 9))) + (". " if n % 2 else "。"))
+        if n % 4 == 3:
+            sentences.insert(30, "x" * 1500 + " ")
+        text = "".join(sentences)
+        limit, overlap = 700, rng.randint(20, 90)
+        pieces = p4.split_text(text, limit, overlap)
+        cohesion = p4.Cohesion(text)
+        done = 0
+        for a, b, forced in pieces[:-1]:
+            high = max(p for p in range(a, len(text) + 1) if len(text[a:p].encode()) <= limit)
+            longer = max(p for p in range(a, len(text) + 1) if len(text[a:p].encode()) <= overlap)
+            window = cohesion.window(max(done, longer), high)
+            assert forced == (not window)
+            assert forced or (b in dict(map(reversed, window)) and dict(map(reversed, window))[b] == max(d for d, _ in window))
+            done = b
+        for x, y in zip(pieces, pieces[1:]):
+            shared = len(text[y[0] : x[1]].encode())
+            assert overlap - len("<<MT_NT:0007>>") < shared <= overlap
+    assert p4.split_text("x" * 10000, 4000, 200) == [(0, 4000, True), (3800, 7800, True), (7600, 10000, False)]
+    assert p4.split_text("a b " + "x" * 3900, 3901, 200)[-1] == (3, 3904, False)  # one byte of the overlap fits
+
+
+def test_cuts_follow_topics():
+    one = "The pump seal was worn and the pump pressure fell at the outlet seal. " * 9
+    other = "The bank paid the guarantee after the claim and the bank sent the bond back. " * 9
+    text = one + other
+    (first, *_) = p4.split_text(text, 1000, 50)
+    assert first[1] == len(one)
+
+
 def test_split_operator(spark):
     memory = spark.createDataFrame(
         [(1, 1, "a b " * 1500, "k"), (1, 1, "a b " * 1500, "k"), (2, 1, "合" * 1500, "k"), (3, 9, "x" * 4001, "k"), (4, 1, None, "k"), (5, 1, "short", "k"), (6, None, "y z" * 3000, "k")],

@@ -1,8 +1,9 @@
 """Problem 4: texts above a byte limit, cut into pieces at natural boundaries with an overlap.
 
-Method: lexical cohesion. Around every sentence or clause end the words of a block before and a block after are
-compared; valleys of that similarity are topic boundaries. Within the window a piece may end in, the deepest
-valley wins. The next piece starts ``overlap`` bytes before the end of the last one.
+Method: lexical cohesion. At every sentence end the words of a block before and a block after are compared; valleys of
+that similarity are topic boundaries. The window a piece may end in reaches from the overlap's length to the size
+limit; the deepest valley of the whole window wins. A window without any sentence end is searched at its clause marks
+and white space in the same way. The next piece starts ``overlap`` bytes before the end of the last one.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 BREAKS = "。！？；，、"
 FLOOR_BYTES = 4000
 TOKEN = re.compile(r"<<MT_[^<>]*>>")
-#: A sentence end, a line break, a clause mark or white space; the earlier kinds are better places.
-STRONG = re.compile(r"[.!?]+[\"'”’»)\]]*(?=\s)|[。！？]+[”’」』）]*|\n")
+#: A sentence end or a line break.
+STRONG = re.compile(r"[.!?]+[\"'”’»)\]]*(?=\s)|[。！？｡．।॥]+[”’」』）]*|\n")
 WORD = re.compile(r"<<MT_[^<>]*>>|[^\W\d_㐀-鿿぀-ヿ]+|\d+|[㐀-鿿぀-ヿ]")
 BLOCK_WORDS = 60
 
@@ -31,22 +32,18 @@ def byte_limit(ctx_size: Column) -> Column:
     return F.greatest(F.lit(FLOOR_BYTES), 2 * ctx_size - 1800)
 
 
-def _boundaries(text: str) -> dict[int, float]:
-    """Character positions where ``text`` may be cut, with a rank of the kind of place. None lies inside a token."""
-    spots: dict[int, float] = {}
-    for m in re.finditer(r"\s+|[。！？；，、]", text):
-        spots[m.end()] = 0.0
+def _boundaries(text: str) -> tuple[list[int], list[int]]:
+    """Ascending character positions where ``text`` may be cut: sentence ends, and places of any kind. None lies
+    inside a token."""
+    ends = set()
     for m in STRONG.finditer(text):
         end = m.end()
         while end < len(text) and text[end].isspace():
             end += 1
-        spots[end] = 1.0
-    for m in TOKEN.finditer(text):
-        for p in range(m.start() + 1, m.end()):
-            spots.pop(p, None)
-    spots.pop(0, None)
-    spots.pop(len(text), None)
-    return spots
+        ends.add(end)
+    places = {m.end() for m in re.finditer(rf"\s+|[{BREAKS}]", text)} | ends
+    inside = {p for m in TOKEN.finditer(text) for p in range(m.start() + 1, m.end())} | {0, len(text)}
+    return sorted(ends - inside), sorted(places - inside)
 
 
 def _valleys(text: str, spots: list[int]) -> list[float]:
@@ -92,60 +89,86 @@ def _valleys(text: str, spots: list[int]) -> list[float]:
     return depth[::-1]
 
 
+class Cohesion:
+    """The places where one text may be cut and the depths of the valleys there."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.ends, self.places = _boundaries(text)
+        self._depths: dict[bool, list[float]] = {}
+
+    def _depth(self, ends: bool) -> list[float]:
+        if ends not in self._depths:
+            self._depths[ends] = _valleys(self.text, self.ends if ends else self.places)
+        return self._depths[ends]
+
+    def window(self, low: int, high: int) -> list[tuple[float, int]]:
+        """(depth, position) of the sentence ends in (low, high], or of all places if there is no sentence end."""
+        for ends, spots in ((True, self.ends), (False, self.places)):
+            a, b = bisect_right(spots, low), bisect_right(spots, high)
+            if a < b:
+                return list(zip(self._depth(ends)[a:b], spots[a:b]))
+        return []
+
+    def next_place(self, low: int) -> int:
+        at = bisect_right(self.places, low)
+        return self.places[at] if at < len(self.places) else len(self.text)
+
+
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
     """(start, end, forced) character spans of the pieces of ``text``, each of at most ``limit`` UTF-8 bytes.
 
-    Consecutive pieces share ``overlap`` bytes, less what is needed to stay on whole characters and tokens and to
-    reach a natural boundary. ``forced`` pieces end inside a stretch without any boundary; there the cut goes to
-    the last whole character or token in the window. Texts within the limit give one piece.
+    Every piece ends at the deepest valley of its window, the later one of equals, and is longer than the overlap. Consecutive pieces share
+    ``overlap`` bytes (at most half the limit), less what is needed to stay on whole characters and tokens; a
+    stretch without any boundary that fits a piece only with less overlap gets as much as then fits. ``forced``
+    pieces end inside a stretch longer than the limit, at the last whole character or token of the window, and
+    share the overlap too. Texts within the limit give one piece.
     """
     limit = max(1, limit)
+    overlap = max(0, min(overlap, limit // 2))
     offsets = [0]
     for ch in text:
         o = ord(ch)
         offsets.append(offsets[-1] + (1 if o < 128 else 2 if o < 2048 else 3 if o < 65536 else 4))
     if offsets[-1] <= limit:
         return [(0, len(text), False)]
-    spots_of = _boundaries(text)
-    spots = sorted(spots_of)
-    depth = dict(zip(spots, _valleys(text, spots)))
+    cohesion = Cohesion(text)
     tokens = [m.span() for m in TOKEN.finditer(text)]
     token_starts = [a for a, _ in tokens]
 
-    def whole(p: int, low: int) -> int:
-        """``p``, or the start of the token that it would cut, if that start is after ``low``."""
+    def token_at(p: int) -> tuple[int, int] | None:
+        """The token that a cut at ``p`` would cut."""
         i = bisect_left(token_starts, p) - 1
-        if i >= 0 and tokens[i][0] < p < tokens[i][1] and tokens[i][0] > low:
-            return tokens[i][0]
-        return p
+        return tokens[i] if i >= 0 and tokens[i][0] < p < tokens[i][1] else None
 
     def behind(p: int) -> int:
-        """``p``, or the end of the token that it would cut."""
-        i = bisect_left(token_starts, p) - 1
-        return tokens[i][1] if i >= 0 and tokens[i][0] < p < tokens[i][1] else p
+        token = token_at(p)
+        return token[1] if token else p
 
-    pieces, start, done = [], 0, 0
-    while True:
-        if offsets[-1] - offsets[start] <= limit:
-            pieces.append((start, len(text), False))
-            return pieces
+    pieces: list[tuple[int, int, bool]] = []
+    start = done = 0
+    while offsets[-1] - offsets[start] > limit:
         last = bisect_right(offsets, offsets[start] + limit) - 1
-        inside = spots[bisect_right(spots, done) : bisect_right(spots, last)]
-        if not inside and start < done:
-            start = done  # no boundary within reach: give the overlap up before cutting a stretch
-            continue
-        half = [p for p in inside if offsets[p] - offsets[start] >= limit // 2] or inside
-        forced = not half
-        if forced:
-            end = max(whole(last, start), start + 1)
+        longer = max(done, bisect_right(offsets, offsets[start] + overlap) - 1)
+        window = cohesion.window(longer, last)
+        if not window and (near := cohesion.window(done, longer)):
+            # Places only within what the next piece repeats: of use if the stretch behind the last one fits a piece.
+            if offsets[cohesion.next_place(near[-1][1])] - offsets[near[-1][1]] <= limit:
+                window = near[-1:]
+        if window:
+            end = max(window)[1]
         else:
-            end = max(half, key=lambda p: (spots_of[p], depth[p], p))
-        pieces.append((start, end, forced))
+            stop = cohesion.next_place(done)
+            if start < done and not pieces[-1][2] and offsets[stop] - offsets[done] <= limit:
+                start = min(behind(bisect_left(offsets, offsets[stop] - limit)), done)
+                continue
+            token = token_at(last)
+            end = max(token[0] if token and token[0] > done else last, done + 1)
+        pieces.append((start, end, not window))
+        start = min(behind(bisect_left(offsets, offsets[end] - overlap)), end)
         done = end
-        back = bisect_left(offsets, max(offsets[start] + 1, offsets[end] - overlap))
-        start = min(behind(back), end)
-        if start <= pieces[-1][0]:
-            start = end
+    pieces.append((start, len(text), False))
+    return pieces
 
 
 def has_long_stretch(text: str, limit: int) -> bool:
