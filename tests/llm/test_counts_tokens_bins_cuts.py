@@ -92,6 +92,20 @@ def test_packing_operator(spark):
     assert p9.pack_documents(df.limit(0), specs, TOKENIZERS).count() == 0
     with pytest.raises(ValueError):
         p9.pack_documents(df, spark.createDataFrame([(1, "x", None)], specs.schema), TOKENIZERS)
+    with pytest.raises(ValueError):
+        p9.pack_documents(df, spark.createDataFrame([(1, "byte_bpe_50k", p9.MAX_CAPACITY + 1)], specs.schema), TOKENIZERS)
+
+
+@needs_ranks
+def test_shards_follow_the_rows_of_a_size(spark, monkeypatch):
+    monkeypatch.setattr(p9, "SHARD_ROWS", 2)
+    df = spark.createDataFrame([(i, "word") for i in range(500)] + [(500 + i, "") for i in range(300)], "doc_id bigint, text string")
+    specs = spark.createDataFrame([(1, "byte_bpe_50k", 10)], "spec_id int, tokenizer string, capacity int")
+    load, seen = Counter(), Counter()
+    for r in p9.pack_documents(df, specs, TOKENIZERS).collect():
+        load[r["bin_id"]] += r["n_tokens"]
+        seen[r["doc_id"]] += 1
+    assert len(load) == 50 and set(load.values()) == {10} and seen == Counter(range(800))
 
 
 @pytest.mark.parametrize(

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,10 @@ from textloom.session import cut_lineage
 
 #: Specifications are configuration; a table with more is refused.
 MAX_SPECS = 1000
-SHARDS = 64
+#: Histogram and plan hold at most one row per size up to the capacity; a larger capacity is refused.
+MAX_CAPACITY = 1 << 23
+#: Shards of a size, at least, and the rows of one size that a shard has on average, at most.
+SHARDS, SHARD_ROWS = 64, 250_000
 
 
 class _Gaps:
@@ -135,10 +139,11 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return runs, bins
 
 
-def _assign(plan: dict[int, tuple[np.ndarray, ...]]):
+def _assign(shared: Broadcast):
     """Looks items (spec, size, rank) up in the plan by binary search."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan: dict[int, tuple[np.ndarray, ...]] = shared.value
         for batch in batches:
             spec, size, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4, 5))
             bins = np.zeros(batch.num_rows, dtype=np.int64)
@@ -159,10 +164,10 @@ NAMES = ["spec_id", "doc_id", "piece", "start_token", "n_tokens", "bin_id"]
 SCHEMA = "spec_id int, doc_id bigint, piece int, start_token bigint, n_tokens bigint, bin_id bigint"
 
 
-def _ranked(items: DataFrame) -> DataFrame:
-    """A rank from 0 within every (spec, size): a row number within one of ``SHARDS`` shards, after the counts of
+def _ranked(items: DataFrame, shards: int) -> DataFrame:
+    """A rank from 0 within every (spec, size): a row number within one of ``shards`` shards, after the counts of
     the shards before. A size that a third of all documents share is ranked by many tasks."""
-    own = items.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(SHARDS)).cast("int"))
+    own = items.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int"))
     counts = own.groupBy("spec_id", "n_tokens", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("spec_id", "n_tokens").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("spec_id", "n_tokens", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -178,7 +183,8 @@ def pack_documents(docs: DataFrame, specs: DataFrame, tokenizers: str, id_col: s
     A document above the capacity is cut into pieces of the capacity, which fill a bin each, and a last piece, which
     is packed like a document; any other document is one piece 0. Null and
     empty texts have no tokens and go, one piece each, to the bins in turn. Every row is packed, repeated ids too;
-    a null id stays null; a specification with a null or non-positive capacity or null tokenizer is refused; an
+    a null id stays null; a specification with a null or non-positive capacity, one above ``MAX_CAPACITY`` or a null
+    tokenizer is refused; an
     empty table of documents gives no rows; other columns are not read.
 
     ``tokenizers`` is the folder of the rank files, ``<tokenizer>.tiktoken``.
@@ -188,6 +194,8 @@ def pack_documents(docs: DataFrame, specs: DataFrame, tokenizers: str, id_col: s
         raise ValueError(f"more than {MAX_SPECS} specifications")
     if any(w["capacity"] is None or w["capacity"] < 1 or w["tokenizer"] is None for w in wanted):
         raise ValueError("a specification needs a tokenizer and a capacity of 1 or more")
+    if any(w["capacity"] > MAX_CAPACITY for w in wanted):
+        raise ValueError(f"a capacity above {MAX_CAPACITY}")
     parts = []
     for name in sorted({w["tokenizer"] for w in wanted}):
         sized = token_counts(docs, f"{tokenizers}/{name}.tiktoken", id_col, text_col)
@@ -213,15 +221,20 @@ def pack_documents(docs: DataFrame, specs: DataFrame, tokenizers: str, id_col: s
         F.least(F.col("n_tokens") - start, F.col("capacity")).alias("n_tokens"),
     )
     histograms: dict[int, dict[int, int]] = {w["spec_id"]: {} for w in wanted}
-    for r in items.where("n_tokens > 0").groupBy("spec_id", "n_tokens").count().collect():  # at most capacity rows a spec
-        histograms[r["spec_id"]][r["n_tokens"]] = r["count"]
+    most = 0
+    for r in items.groupBy("spec_id", "n_tokens").count().collect():  # at most capacity + 1 rows a spec
+        most = max(most, r["count"])
+        if r["n_tokens"] > 0:
+            histograms[r["spec_id"]][r["n_tokens"]] = r["count"]
     plan = {}
     for w in wanted:
         runs, bins = plan_bins(histograms[w["spec_id"]], w["capacity"])
         runs.sort()
         table = np.array(runs or [(0, 0, 0, 0, 1)], dtype=np.int64)
         plan[w["spec_id"]] = ((table[:, 0] << 40) | table[:, 1], table[:, 1], table[:, 3], table[:, 4], bins)
-    return _ranked(items).select("spec_id", "doc_id", "piece", "start_token", "n_tokens", "rank").mapInArrow(_assign(plan), SCHEMA)
+    ranked = _ranked(items, max(SHARDS, -(-most // SHARD_ROWS)))
+    shared = docs.sparkSession.sparkContext.broadcast(plan)
+    return ranked.select("spec_id", "doc_id", "piece", "start_token", "n_tokens", "rank").mapInArrow(_assign(shared), SCHEMA)
 
 
 def fill_rates(packed: DataFrame, specs: DataFrame) -> DataFrame:
