@@ -116,22 +116,3 @@ def render(template: str, **values: Column) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value, F.lit("")))
     return out
-
-
-def translate_decision(source: Column, frozen: Column, source_lang: Column) -> Column:
-    """Why a unit is translated (``ok``) or not."""
-    t = collapsed(F.coalesce(source, F.lit("")))
-    han = counted(t, r"[一-鿿]")
-    latin = counted(t, "[A-Za-z]")
-    accented = counted(t, r"[À-ɏ]")
-    other = counted(t, r"[Ѐ-ԯͰ-Ͽ֐-׿؀-ۿऀ-ॿ฀-๿가-힯぀-ヿ]")
-    return (
-        F.when(t == "", "empty")
-        .when(blank(F.regexp_replace(F.coalesce(frozen, F.lit("")), P.SENTINEL, "")), "sentinel_only")
-        .when((other > 0) & (han + latin + accented == 0), "other_script")
-        .when((source_lang == "en") & (latin == 0) & (han > 0), "already_zh")
-        .when((source_lang == "en") & (latin == 0), "no_latin")
-        .when((source_lang == "zh") & (han == 0) & (latin > 0), "already_en")
-        .when((source_lang == "zh") & (han == 0), "no_cjk")
-        .otherwise("ok")
-    )

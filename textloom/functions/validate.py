@@ -79,7 +79,8 @@ def validated(df: DataFrame, frozen: str, nt_map: str | None, translated: str, o
 
 
 def quality_flags(df: DataFrame, frozen: str, nt_map: str | None, translated: str, source_lang: str, target_lang: str) -> DataFrame:
-    """``df`` with ``src_chars``, ``tgt_chars``, ``len_ratio``, ``hard_flags`` and ``soft_flags`` (sorted arrays)."""
+    """``df`` with ``src_chars``, ``tgt_chars``, ``len_ratio``, ``han_ratio``, ``latin_ratio``, ``bracket_notes``,
+    ``hard_flags`` and ``soft_flags`` (sorted arrays)."""
     back = F.col(nt_map) if nt_map else F.create_map().cast("map<string,string>")
     plain = lambda t: F.regexp_replace(unfreeze(F.coalesce(t, F.lit("")), back), P.ANY_MT, " ")
     step = df.withColumns({"_s": plain(frozen), "_t": plain(translated)})
@@ -112,8 +113,10 @@ def quality_flags(df: DataFrame, frozen: str, nt_map: str | None, translated: st
         F.when(long & (ratio <= 4.0) & (ratio > 2.8), "len_ratio_too_long"),
         F.when(differ & target.startswith("en") & ~((latin < 0.18) & (han > 0.20)) & (han > 0.25), "target_contains_much_han"),
     ]
-    for name, _ in P.BRACKETS:
+    notes = []
+    for name, characters in P.BRACKETS:
         a, b = F.col(f"_s_{name}"), F.col(f"_t_{name}")
+        notes.append(F.when(a != b, F.format_string(f"{characters[:2]}:src=%d tgt=%d", a, b)))
         hard.append(F.when((a > 0) & (b == 0), f"missing_brackets_{name}"))
         differs = (b > 0) & (a != b)
         soft.append(F.when(differs & (F.abs(a - b) >= 4), f"bracket_count_mismatch_{name}"))
@@ -121,6 +124,9 @@ def quality_flags(df: DataFrame, frozen: str, nt_map: str | None, translated: st
     flags = {
         "src_chars": chars_s,
         "tgt_chars": chars_t,
+        "han_ratio": han,
+        "latin_ratio": latin,
+        "bracket_notes": F.array_compact(F.array(*notes)),
         "hard_flags": F.sort_array(F.array_compact(F.array(*hard))),
         "soft_flags": F.sort_array(F.array_compact(F.array(*soft))),
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import masking, text, validate
+from textloom.functions import language, masking, text, validate
 from textloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +73,7 @@ def q_scope_types(spark: SparkSession, d: str) -> DataFrame:
 
 def q_translate_decision(spark: SparkSession, d: str) -> DataFrame:
     rows = with_files(spark, d, "source_surface", "frozen_surface")
-    why = text.translate_decision(F.col("source_surface"), F.col("frozen_surface"), F.col("source_lang"))
+    why = language.translate_decision(F.col("source_surface"), F.col("frozen_surface"), F.col("source_lang"))
     return rows.groupBy("source_lang", why.alias("reason")).agg(F.count("*").alias("units"))
 
 
@@ -179,6 +179,17 @@ _SENTINEL = r"<<MT_(?:TAB|BR|NBH|SHY|NT:[0-9]{4}|SEG:[0-9]{6}|END:[0-9]{6}|SLOT:
 _HAN = r"[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2a6df}\x{2a700}-\x{2b73f}\x{2b740}-\x{2b81f}\x{2b820}-\x{2ceaf}\x{2ceb0}-\x{2ebef}]"
 
 
+_NOT_OTHER = r"[^\x{900}-\x{97f}\x{980}-\x{9ff}\x{600}-\x{6ff}\x{400}-\x{4ff}\x{370}-\x{3ff}\x{590}-\x{5ff}\x{e00}-\x{e7f}\x{ac00}-\x{d7af}\x{3040}-\x{309f}\x{30a0}-\x{30ff}]"
+_COMMON = (
+    "an and are as at be between by dated for from has have in into is it its may not of on or shall subject such that the their this to under will with"
+)
+#: Whether a text looks English, over the place for its expression.
+_ENGLISH = (
+    "(len(regexp_extract_all(lower({0}), '[a-z]{{2,}}')) > 0 AND (len(regexp_extract_all(lower({0}), '[a-z]{{2,}}')) < 4 OR "
+    f"list_has_any(regexp_extract_all(lower({{0}}), '[a-z]{{{{2,}}}}'), string_split('{_COMMON}', ' '))))"
+)
+
+
 def _n(text: str, outside: str) -> str:
     """Characters left when those outside a class are taken away."""
     return f"length(regexp_replace({text}, '{outside}', '', 'g'))"
@@ -245,13 +256,14 @@ ORACLE: dict[str, str] = {
           trim(regexp_replace(regexp_replace(coalesce(source_surface, ''), '{_SENTINEL}', ' ', 'g'), '{_WS}+', ' ', 'g')) AS t
         FROM paragraph_memory JOIN memory_files USING (file_id)),
       c AS (SELECT *, {_n("t", r"[^\x{4e00}-\x{9fff}]")} AS han, {_n("t", "[^A-Za-z]")} AS latin, {_n("t", r"[^\x{c0}-\x{24f}]")} AS accented,
-        {_n("t", r"[^\x{400}-\x{52f}\x{370}-\x{3ff}\x{590}-\x{5ff}\x{600}-\x{6ff}\x{900}-\x{97f}\x{e00}-\x{e7f}\x{ac00}-\x{d7af}\x{3040}-\x{30ff}]")} AS other
+        {_n("t", _NOT_OTHER)} AS other, {_ENGLISH.format("t")} AS english
         FROM r)
       SELECT source_lang, CASE WHEN t = '' THEN 'empty'
         WHEN regexp_full_match(regexp_replace(coalesce(f, ''), '{_SENTINEL}', '', 'g'), '{_WS}*') THEN 'sentinel_only'
         WHEN other > 0 AND han + latin + accented = 0 THEN 'other_script'
         WHEN source_lang = 'en' AND latin = 0 AND han > 0 THEN 'already_zh'
         WHEN source_lang = 'en' AND latin = 0 THEN 'no_latin'
+        WHEN source_lang = 'en' AND accented >= 2 AND NOT english THEN 'non_english_latin'
         WHEN source_lang = 'zh' AND han = 0 AND latin > 0 THEN 'already_en'
         WHEN source_lang = 'zh' AND han = 0 THEN 'no_cjk' ELSE 'ok' END AS reason, count(*) AS units
       FROM c GROUP BY 1, 2
