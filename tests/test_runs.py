@@ -21,8 +21,13 @@ def test_what_keeps_runs_apart():
 
 
 def test_first_attributes_and_space_stay():
-    got = merged('<w:r w:id="1"><w:t>a</w:t></w:r><w:r w:id="2"><w:t xml:space="preserve"> b</w:t></w:r>')
-    assert got == '<w:r w:id="1"><w:t xml:space="preserve">a b</w:t></w:r>'
+    got = merged('<w:p><w:r w:id="1"><w:t>a</w:t></w:r><w:r w:id="2"><w:t xml:space="preserve"> b</w:t></w:r></w:p>')
+    assert got == '<w:p><w:r w:id="1"><w:t xml:space="preserve">a b</w:t></w:r></w:p>'
+
+
+def test_runs_outside_paragraphs_proper_stay():
+    linked = "<w:p><w:hyperlink><w:r><w:t>a</w:t></w:r><w:r><w:t>b</w:t></w:r></w:hyperlink></w:p>"
+    assert merged(linked) == linked
 
 
 def test_operator(spark):

@@ -57,14 +57,15 @@ class _Run:
 
 
 def merge_events(events: list[Event]) -> list[Event]:
-    """The events of a part with neighbouring simple runs of like formatting made one. Whatever stands between two
+    """The events of a part with neighbouring simple runs of like formatting, directly in a paragraph, made one;
+    runs in hyperlinks or insertions stay as they are. Whatever stands between two
     runs keeps them apart; the first run's attributes stay; space is preserved if it was in any."""
     out: list[Event] = []
     held: _Run | None = None
     at = 0
     while at < len(events):
         e = events[at]
-        if e["kind"] == "start" and e["name"] == "w:r":
+        if e["kind"] == "start" and e["name"] == "w:r" and e["path"].endswith("/w:p/w:r"):
             close = next((k for k in range(at + 1, len(events)) if events[k]["kind"] == "end" and events[k]["path"] == e["path"]), None)
             if close is not None:
                 run = _Run(events[at : close + 1])

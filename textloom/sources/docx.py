@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import html
 import io
 import re
 import zipfile
@@ -19,8 +18,15 @@ ENTRIES = (
 )
 EVENTS = "doc_id string, part_name string, event_index int, kind string, name string, attrs array<struct<k:string,v:string>>, text string, path string"
 
-_MARKUP = re.compile(r"<!--(.*?)-->|<!\[CDATA\[(.*?)\]\]>|<\?(.*?)\?>|<!DOCTYPE([^>]*)>|<(/?)([^\s/>]+)((?:\s+[^\s=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(/?)>|([^<]+)", re.S)
+_ATTRIBUTES = r"(?:\s+[^\s=<>/\"']+\s*=\s*(?:\"[^<\"]*\"|'[^<']*'))*"
+_MARKUP = re.compile(rf"<!--(.*?)-->|<!\[CDATA\[(.*?)\]\]>|<\?(.*?)\?>|<!DOCTYPE([^>]*)>|<(/?)([^\s/<>=\"'!?]+)({_ATTRIBUTES})\s*(/?)>|([^<]+)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_REFERENCE = re.compile(r"&(?:#x([0-9A-Fa-f]+)|#([0-9]+)|([^;\s&]*))(;?)")
+_NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+
+
+class MarkupError(ValueError):
+    """A part that is no well-formed markup."""
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
@@ -82,40 +88,91 @@ def replaced(entries: DataFrame, parts: DataFrame) -> DataFrame:
     return entries.join(new, ["doc_id", "name"], "left").withColumn("data", F.coalesce("_new", "data")).select(*entries.columns)
 
 
+def unescaped(text: str) -> str:
+    """Text with the five named references of XML and character references resolved; any other is an error."""
+
+    def one(m: re.Match[str]) -> str:
+        sixteen, ten, name, end = m.groups()
+        try:
+            return _NAMED[name] if end and name is not None else chr(int(sixteen, 16) if sixteen else int(ten)) if end else _NAMED[m.group()]
+        except (KeyError, ValueError, OverflowError, TypeError):
+            raise MarkupError(f"unknown reference {m.group()[:40]!r}") from None
+
+    return _REFERENCE.sub(one, text) if "&" in text else text
+
+
 def parse_markup(text: str) -> list[tuple]:
-    """(kind, name, attributes, text, path) of every piece: text unescaped, attributes raw and in order, the path of
-    the element that a piece is, or lies in."""
+    """(kind, name, attributes, text, path) of every piece: text unescaped, attributes raw and in order (double quotes
+    within single-quoted ones as ``&quot;``, since they are written in double quotes), the path of the element that a
+    piece is, or lies in. Every character belongs to a piece: what does not fit, elements closed out of order or left
+    open, doubled attributes and unknown references raise ``MarkupError``."""
     out: list[tuple] = []
-    stack = [""]
-    for m in _MARKUP.finditer(text):
+    stack, names, at = [""], [], 0
+    text = text.removeprefix("\ufeff")
+    while at < len(text):
+        m = _MARKUP.match(text, at)
+        if m is None:
+            raise MarkupError(f"no markup at character {at}: {text[at : at + 40]!r}")
+        at = m.end()
         comment, cdata, instruction, doctype, end, name, attributes, empty, plain = m.groups()
         if plain is not None:
-            out.append(("text", None, None, html.unescape(plain) if "&" in plain else plain, stack[-1]))
+            out.append(("text", None, None, unescaped(plain), stack[-1]))
         elif name is not None:
-            attrs = [{"k": a[0], "v": a[1] or a[2]} for a in _ATTRIBUTE.findall(attributes)]
             if end:
-                out.append(("end", name, None, None, stack[-1]))
-                if len(stack) > 1:
-                    stack.pop()
-            elif empty:
-                out.append(("empty", name, attrs, None, f"{stack[-1]}/{name}"))
-            else:
-                stack.append(f"{stack[-1]}/{name}")
-                out.append(("start", name, attrs, None, stack[-1]))
+                if not names or names[-1] != name or attributes.strip() or empty:
+                    raise MarkupError(f"</{name}> closes {names[-1] if names else 'nothing'}")
+                out.append(("end", name, None, None, stack.pop()))
+                names.pop()
+                continue
+            attrs = [{"k": k, "v": double or single.replace('"', "&quot;")} for k, double, single in _ATTRIBUTE.findall(attributes)]
+            if len({a["k"] for a in attrs}) < len(attrs):
+                raise MarkupError(f"attribute given twice in <{name}>")
+            path = f"{stack[-1]}/{name}"
+            out.append(("empty" if empty else "start", name, attrs, None, path))
+            if not empty:
+                stack.append(path)
+                names.append(name)
         elif comment is not None:
             out.append(("comment", None, None, comment, stack[-1]))
         elif cdata is not None:
             out.append(("cdata", None, None, cdata, stack[-1]))
         elif instruction is not None:
-            kind = "decl" if instruction.startswith("xml ") else "pi"
+            kind = "decl" if re.match(r"xml\s", instruction) else "pi"
             out.append((kind, None, None, instruction, stack[-1]))
         else:
             out.append(("doctype", None, None, doctype, stack[-1]))
+    if names:
+        raise MarkupError(f"<{names[-1]}> is left open")
     return out
 
 
-def events(entries: DataFrame) -> DataFrame:
-    """Markup events of the XML parts, in order. Data that is no UTF-8 is read with replacement characters."""
+def write_markup(pieces: list[tuple]) -> str:
+    """Pieces as markup, as ``event_text`` writes them."""
+    out = []
+    for kind, name, attrs, text, _ in pieces:
+        if kind == "text":
+            out.append(text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+        elif kind in ("start", "empty"):
+            out.append("".join([f"<{name}", *(f' {a["k"]}="{a["v"]}"' for a in attrs), "/>" if kind == "empty" else ">"]))
+        elif kind == "end":
+            out.append(f"</{name}>")
+        else:
+            before, after = {"cdata": ("<![CDATA[", "]]>"), "comment": ("<!--", "-->"), "doctype": ("<!DOCTYPE", ">")}.get(kind, ("<?", "?>"))
+            out.append(f"{before}{text}{after}")
+    return "".join(out)
+
+
+def events(entries: DataFrame, strict: bool = True) -> DataFrame:
+    """Markup events of the XML parts, in order. Data that is no UTF-8 is read with replacement characters. A part
+    that is not well-formed fails the job; if not ``strict`` it has one event of kind ``error`` with the message."""
+
+    def parsed(part: str, data: bytes | None) -> list[tuple]:
+        try:
+            return parse_markup((data or b"").decode("utf-8", "replace"))
+        except MarkupError as e:
+            if strict:
+                raise MarkupError(f"{part}: {e}") from None
+            return [("error", None, None, str(e), "")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in re.sub("<.*?>>", "", EVENTS).split(", ")]
@@ -123,7 +180,7 @@ def events(entries: DataFrame) -> DataFrame:
         types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), attrs, pa.string(), pa.string()]
         for batch in batches:
             for doc, part, data in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = [(doc, part, i, *e) for i, e in enumerate(parse_markup((data or b"").decode("utf-8", "replace")))]
+                rows = [(doc, part, i, *e) for i, e in enumerate(parsed(part, data))]
                 for at in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000]), types)], names=names)
 
