@@ -26,6 +26,11 @@ def _search(present: tuple[bool, ...]) -> regex.Pattern:
     return regex.compile("|".join([P.SENTINEL, *kept]))
 
 
+@lru_cache(maxsize=1)
+def _legacy() -> regex.Pattern:
+    return regex.compile(f"{P.SENTINEL}|(?i:{'|'.join(P.LEGACY_ALTERNATIVES)})")
+
+
 def _matches(text: str):
     present = tuple(need is None or any(c in text for c in need) for need in _NEEDS)
     return _search(present).finditer(text)
@@ -34,11 +39,12 @@ def _matches(text: str):
 FROZEN = "frozen string, nt array<struct<token:string,original:string>>, spans array<struct<src_start:int,src_end:int,token:string,original:string>>"
 
 
-def freeze_text(text: str) -> tuple[str, list[dict], list[dict]]:
-    """The frozen text, its tokens with their originals, and the spans in UTF-8 bytes."""
-    tokens: dict[str, str] = {}
+def freeze_text(text: str, legacy: bool = False) -> tuple[str, list[dict], list[dict]]:
+    """The frozen text, its tokens with their originals, and the spans in UTF-8 bytes. The older (``legacy``) mask
+    freezes whole references, and every place has a token of its own."""
+    tokens: dict = {}
     pieces, spans, at, offset = [], [], 0, 0
-    for m in _matches(text):
+    for m in _legacy().finditer(text) if legacy else _matches(text):
         gap, found = text[at : m.start()], m.group()
         pieces.append(gap)
         start = offset + len(gap.encode())
@@ -47,11 +53,11 @@ def freeze_text(text: str) -> tuple[str, list[dict], list[dict]]:
         if _SENTINEL.fullmatch(found):
             pieces.append(found)
             continue
-        name = tokens.setdefault(found, f"<<MT_NT:{len(tokens) + 1:0{P.NT_WIDTH}d}>>")
+        name = tokens.setdefault((found, len(tokens) if legacy else 0), f"<<MT_NT:{len(tokens) + 1:0{P.NT_WIDTH}d}>>")
         pieces.append(name)
         spans.append({"src_start": start, "src_end": offset, "token": name, "original": found})
     pieces.append(text[at:])
-    return "".join(pieces), [{"token": t, "original": o} for o, t in tokens.items()], spans
+    return "".join(pieces), [{"token": t, "original": o} for (o, _), t in tokens.items()], spans
 
 
 def _frozen(texts: pd.Series) -> pd.DataFrame:
@@ -59,15 +65,21 @@ def _frozen(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(done, columns=["frozen", "nt", "spans"])
 
 
-def frozen(df: DataFrame, text_col: str) -> DataFrame:
+def _frozen_legacy(texts: pd.Series) -> pd.DataFrame:
+    done = [(None, None, None) if t is None else freeze_text(t, legacy=True) for t in texts]
+    return pd.DataFrame(done, columns=["frozen", "nt", "spans"])
+
+
+def frozen(df: DataFrame, text_col: str, profile: str = "current") -> DataFrame:
     """``df`` with ``frozen`` (text), ``nt`` array<struct(token, original)> and ``spans`` array<struct(src_start,
     src_end, token, original)>.
 
     Equal originals share a token, numbered by first occurrence; tokens already in the text stay and are not
-    numbered; starts and ends count UTF-8 bytes. Null gives nulls, the empty string no tokens. One pass in Python
+    numbered (the ``legacy`` profile gives every place its own token); starts and ends count UTF-8 bytes. Null gives nulls, the empty string no tokens. One pass in Python
     over Arrow batches: array lambdas would go over all matches again for every match.
     """
-    out = df.withColumn("_f", F.pandas_udf(_frozen, FROZEN)(F.col(text_col)))
+    run = {"current": _frozen, "legacy": _frozen_legacy}[profile]
+    out = df.withColumn("_f", F.pandas_udf(run, FROZEN)(F.col(text_col)))
     return out.select(*df.columns, "_f.frozen", "_f.nt", "_f.spans")
 
 

@@ -115,3 +115,26 @@ HAN_NUMERALS = "零一二三四五六七八九"
 #: English words of a reference and its Chinese form.
 REFERENCE_FORMS = (("Section", "第{}条"), ("Article", "第{}条"), ("Clause", "第{}款"), ("Paragraph", "第{}段"), ("Schedule", "附表{}"))
 ZH_GENERIC_REFERENCES = ("本条款", "本条", "该条款", "该条", "本节", "该节")
+
+# Fixed values of the older mask: references frozen whole, whatever their case.
+LEGACY_ALTERNATIVES = (
+    r"[A-Za-z0-9]{2,24}[®™℠]",
+    OTHER_SCRIPTS + "+",
+    FREEZE_ALTERNATIVES[2],
+    FREEZE_ALTERNATIVES[3],
+    FREEZE_ALTERNATIVES[4],
+    FREEZE_ALTERNATIVES[5],
+    r"%\d+",
+    r"\b(?:Section|Article|Clause|Paragraph|Schedule)s?\s+(?:\d+(?:[.,]\d+)*(?:-\d+(?:[.,]\d+)*)?(?:\([A-Za-z0-9]+\))*|[IVXLCDM]{1,8})\b",
+    r"\b(?:Sec|Art|Cl|Para|Sch)s?\.\s+(?:\d+(?:[.,]\d+)*(?:-\d+(?:[.,]\d+)*)?(?:\([A-Za-z0-9]+\))*|[IVXLCDM]{1,8})\b",
+    r"第\s*\d+(?:\([A-Za-z0-9]+\))*\s*(?:条|款|项|段|章|节)\b",
+    r"(?:附表|附件)\s*\d+(?:\([A-Za-z0-9]+\))*\b",
+    r"\b\d+(?:\([A-Za-z0-9]+\))+",
+    r"\(\d{1,3}\)",
+    r"\((?:[ivxlcdmIVXLCDM]{1,6})\)",
+    r"\([A-Za-z]\)",
+    r"[.…]{8,}",
+    r"_{5,}",
+    r"[-‐‑‒–—―−]{5,}",
+    r"\b[XYZ]\b",
+)

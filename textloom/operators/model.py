@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 from textloom.functions.validate import validated
 
@@ -21,6 +24,22 @@ def stub_model() -> Callable[[list[str]], list[str]]:
     return lambda prompts: list(prompts)
 
 
+def with_answers(df: DataFrame, inputs: list[str], out: str, kind: DataType, work: Callable[[Callable, list[tuple]], list], factory: ModelFactory, name: str) -> DataFrame:
+    """``df`` with a column ``out`` of ``work(model, rows)``, batch by batch, of the columns ``inputs``. A stage of its
+    own: expressions on the column are not merged into it."""
+    schema = StructType([*df.schema.fields, StructField(out, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _made:
+            _made[name] = factory()
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in inputs)))
+            values = pa.array(work(_made[name], rows), to_arrow_type(kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
 def generated(df: DataFrame, prompt: str, out: str, factory: ModelFactory = stub_model, name: str = "stub") -> DataFrame:
     """``df`` with the model's text for every prompt. ``name`` keys the model within a worker process, where it is
     made once. A null prompt gives null."""

@@ -1,4 +1,4 @@
-"""Vectors: norms, similarity, exact top-k in blocks, weighted means."""
+"""Vectors: norms, similarity, exact top-k in rounds, weighted means."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 256, 4096
+#: Queries that are sent out in one round, at most; rows that meet them in one product.
+QUERY_ROUND, ROW_BLOCK = 4096, 1024
 
 
 def norm(vector: Column) -> Column:
@@ -36,77 +38,95 @@ def weighted_mean(df: DataFrame, keys: list[str], vector: str, weight: str) -> D
     return sums.groupBy(*keys).agg(F.transform(ordered, lambda s: s["x"]).alias("mean"))
 
 
-def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
-    """Rows (id, label, vector) gathered into blocks of at most ``size`` within each partition, as packed floats."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        labels: list = []
-        vectors: list = []
-
-        def flush() -> pa.RecordBatch:
-            dims = len(vectors[0])
-            flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in vectors]).tobytes()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([labels], pa.list_(pa.int32())), pa.array([dims], pa.int32()), pa.array([flat], pa.binary())],
-                names=[f"{prefix}{n}" for n in ("ids", "labels", "dims", "data")],
-            )
-
+def _rounds(queries: DataFrame, size: int) -> Iterator[dict[int, tuple[np.ndarray, ...]]]:
+    """Queries (id, label, vector, excluded) in rounds of ``size``: by number of dimensions, ids, labels, unit
+    vectors and excluded ids."""
+    held: dict[int, list[tuple]] = {}
+
+    def packed() -> dict[int, tuple]:
+        out = {}
+        for dims, rows in held.items():
+            ids, labels, vectors, excluded = zip(*rows)
+            v = np.array(vectors, dtype=np.float64)
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            out[dims] = (np.array(ids), np.array([np.nan if x is None else x for x in labels]), np.divide(v, n, out=np.zeros_like(v), where=n > 0), excluded)
+        return out
+
+    count = 0
+    for row in queries.toLocalIterator():
+        if row[2]:
+            held.setdefault(len(row[2]), []).append(tuple(row))
+            count += 1
+        if count == size:
+            yield packed()
+            held, count = {}, 0
+    if count:
+        yield packed()
+
+
+def _best_of_partition(shared: Broadcast, top_k: int, bonus: float):
+    """Keeps, over all rows of a partition, the ``top_k`` best a query, and gives them at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        best = {d: (np.full((len(q[0]), top_k), -np.inf), np.full((len(q[0]), top_k), np.iinfo(np.int64).max)) for d, q in queries.items()}
+
+        def meet(dims: int, ids: list, labels: list, vectors: list) -> None:
+            q_ids, q_labels, unit, excluded = queries[dims]
+            v = np.array(vectors, dtype=np.float64)
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            own = np.array(ids)
+            label = np.array([np.nan if x is None else x for x in labels])
+            sims = np.round(unit @ np.divide(v, n, out=np.zeros_like(v), where=n > 0).T + bonus * (q_labels[:, None] == label[None, :]), 6)
+            sims[q_ids[:, None] == own[None, :]] = -np.inf
+            for k, out in enumerate(excluded):
+                if out:
+                    sims[k, np.isin(own, out)] = -np.inf
+            scores = np.concatenate([best[dims][0], sims], axis=1)
+            names = np.concatenate([best[dims][1], np.broadcast_to(own, sims.shape)], axis=1)
+            order = np.lexsort((names, -scores), axis=1)[:, :top_k]
+            best[dims] = (np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1))
+
+        held: dict[int, tuple[list, list, list]] = {}
         for batch in batches:
             for i, label, v in zip(*(c.to_pylist() for c in batch.columns)):
-                if not v or (vectors and len(v) != len(vectors[0])):
-                    if vectors and v:
-                        yield flush()
-                        ids, labels, vectors = [], [], []
-                    if not v:
-                        continue
-                ids.append(i)
-                labels.append(label)
-                vectors.append(v)
-                if len(ids) == size:
-                    yield flush()
-                    ids, labels, vectors = [], [], []
-        if ids:
-            yield flush()
-
-    return df.mapInArrow(gather, f"{prefix}ids array<bigint>, {prefix}labels array<int>, {prefix}dims int, {prefix}data binary")
-
-
-def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, label_col: str, top_k: int, bonus: float = 0.02) -> DataFrame:
+                if v and len(v) in queries:
+                    ids, labels, vectors = held.setdefault(len(v), ([], [], []))
+                    ids.append(i)
+                    labels.append(label)
+                    vectors.append(v)
+                    if len(ids) == ROW_BLOCK:
+                        meet(len(v), *held.pop(len(v)))
+        for dims, rows in held.items():
+            meet(dims, *rows)
+        for dims, (scores, names) in best.items():
+            q, k = np.nonzero(np.isfinite(scores))
+            yield pa.RecordBatch.from_arrays([pa.array(queries[dims][0][q]), pa.array(names[q, k]), pa.array(scores[q, k])], names=["query_id", "id", "score"])
+
+    return run
+
+
+def nearest(
+    df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, label_col: str, top_k: int, bonus: float = 0.02, exclude_col: str | None = None
+) -> DataFrame:
     """(query_id, id, score, rank): the ``top_k`` rows most similar by cosine, plus ``bonus`` for an equal label;
-    ties go to the smaller id; a row is no match of itself.
+    ties go to the smaller id; a row is no match of itself, nor of a query whose ``exclude_col`` (array<bigint>)
+    holds its id.
 
-    Exact. Queries and rows go in blocks; each pair of blocks is one matrix product that keeps at most ``top_k``
-    rows a query, so what is shuffled is top-k lists and not pairs. Empty vectors and vectors of another length than
-    the query's match nothing; a null label equals none.
+    Exact. Queries are sent out in rounds of at most ``QUERY_ROUND``; every partition of the rows is read once a
+    round, by matrix products, and keeps a running top-k, so what is shuffled is top-k lists of partitions. Empty
+    vectors and vectors of another length than the query's match nothing; a null label equals none.
     """
-    pick = lambda d: d.select(F.col(id_col).cast("bigint"), F.col(label_col).cast("int"), F.col(vector_col).cast("array<double>")).where(F.col(id_col).isNotNull())
-    left, right = _blocks(pick(queries), QUERY_BLOCK, "q_"), _blocks(pick(df), ROW_BLOCK, "r_")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qi, ql, qd, qv, ri, rl, rd, rv in zip(*(c.to_pylist() for c in batch.columns)):
-                if qd != rd:
-                    continue
-                a = np.frombuffer(qv).reshape(-1, qd)
-                b = np.frombuffer(rv).reshape(-1, rd)
-                na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-                scale = na[:, None] * nb[None, :]
-                sims = np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                la = np.array([-1 if x is None else x for x in ql])
-                lb = np.array([-2 if x is None else x for x in rl])
-                sims = np.round(sims + bonus * (la[:, None] == lb[None, :]), 6)
-                ids = np.array(ri)
-                sims[np.array(qi)[:, None] == ids[None, :]] = -np.inf
-                out: tuple[list, list, list] = ([], [], [])
-                for k, q in enumerate(qi):
-                    best = np.lexsort((ids, -sims[k]))[:top_k]
-                    best = best[np.isfinite(sims[k][best])]
-                    out[0].extend([q] * len(best))
-                    out[1].extend(ids[best].tolist())
-                    out[2].extend(sims[k][best].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "id", "score"])
-
-    parts = left.crossJoin(right).mapInArrow(score, "query_id bigint, id bigint, score double")
+    pick = lambda d: d.select(F.col(id_col).cast("bigint"), F.col(label_col).cast("int"), F.col(vector_col).cast("array<double>"))
+    excluded = (F.col(exclude_col).cast("array<bigint>") if exclude_col else F.lit(None).cast("array<bigint>")).alias("_x")
+    asked = queries.select(F.col(id_col).cast("bigint"), F.col(label_col).cast("int"), F.col(vector_col).cast("array<double>"), excluded)
+    rows, spark = pick(df).where(F.col(id_col).isNotNull()), df.sparkSession
+    parts: DataFrame | None = None
+    for round_ in _rounds(asked.where(F.col(id_col).isNotNull()), QUERY_ROUND):
+        shared = spark.sparkContext.broadcast(round_)
+        part = rows.mapInArrow(_best_of_partition(shared, top_k, bonus), "query_id bigint, id bigint, score double")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        parts = spark.createDataFrame([], "query_id bigint, id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
