@@ -116,3 +116,26 @@ def render(template: str, **values: Column) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value, F.lit("")))
     return out
+
+
+def in_paragraph(scope_key: Column) -> Column:
+    """Whether a scope is a paragraph of text, of either kind."""
+    return F.coalesce(scope_key.contains("#w:p") | scope_key.contains("#a:p"), F.lit(False))
+
+
+def ends_sentence(text: Column) -> Column:
+    """Whether a text's last character ends a sentence."""
+    return F.coalesce(text.rlike(r"[.!?;。！？；]\z"), F.lit(False))
+
+
+def is_control(token_: Column) -> Column:
+    return token_.isin(*P.CONTROL_TOKENS)
+
+
+def is_placeholder(text: Column, prefix: str) -> Column:
+    return text.rlike(rf"(?s)^__MT_MASK_{prefix}_.{{8,}}__$")
+
+
+def final_text(final: Column, draft: Column, frozen: Column) -> Column:
+    """What is written in the end: the final translation, else the draft, else the source."""
+    return F.coalesce(final, draft, frozen)

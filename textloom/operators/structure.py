@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,11 +95,16 @@ def paragraphs(evs: DataFrame) -> DataFrame:
     )
 
 
-def filtered_events(evs: DataFrame, drop_elements: list[str], drop_attributes: list[str], keep_space_in: tuple[str, ...] = ("w:t", "a:t")) -> DataFrame:
-    """Events without the named elements and what lies in them, without the named attributes, and without text of
-    white space only outside the elements in ``keep_space_in``."""
+def filtered_events(
+    evs: DataFrame, drop_elements: list[str], drop_attributes: list[str], keep_space_in: tuple[str, ...] = ("w:t", "a:t"), drop_run_properties: tuple[str, ...] = ()
+) -> DataFrame:
+    """Events without the named elements and what lies in them, without the named run properties where they are
+    properties of a run (below ``w:rPr``), without the named attributes, and without text of white space only outside
+    the elements in ``keep_space_in``."""
     below = "(?:^|/)(?:" + "|".join(e.replace(".", r"\.") for e in drop_elements) + ")(?:/|$)"
     rows = evs.where(~F.col("path").rlike(below)) if drop_elements else evs
+    if drop_run_properties:
+        rows = rows.where(~F.col("path").rlike("/w:rPr/(?:" + "|".join(re.escape(p) for p in drop_run_properties) + ")(?:/|$)"))
     parent = F.element_at(F.split("path", "/"), -1)
     rows = rows.where(~((F.col("kind") == "text") & F.col("text").rlike(r"(?U)^\s*$") & ~parent.isin(*keep_space_in)))
     if drop_attributes:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,16 +38,16 @@ def glossary_matches(df: DataFrame, glossary: DataFrame, id_col: str, text_col:
     longest in bytes first, then seen most, then by src and id.
 
     The glossary's size is checked: up to ``AUTOMATON_TERMS`` terms make one automaton, whose cost follows the text
-    and not the number of terms; more terms are searched in as many rounds. Null and empty texts and terms match
+    and not the number of terms; more terms are searched in as many rounds, of which the driver holds one. Null and empty texts and terms match
     nothing.
     """
-    terms = [(r["term_id"], r["src"]) for r in glossary.where("src is not null and src <> ''").select("term_id", "src").toLocalIterator()]
+    terms = ((r["term_id"], r["src"]) for r in glossary.where("src is not null and src <> ''").select("term_id", "src").toLocalIterator())
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''")
     kind = texts.schema["id"].dataType.simpleString()
     sc = df.sparkSession.sparkContext
     found: DataFrame | None = None
-    for at in range(0, max(1, len(terms)), AUTOMATON_TERMS):
-        shared = sc.broadcast(terms[at : at + AUTOMATON_TERMS])
+    while (own := list(islice(terms, AUTOMATON_TERMS))) or found is None:
+        shared = sc.broadcast(own)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             match = _matcher(shared.value)

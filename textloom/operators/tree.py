@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.language import heading_text
+from textloom.operators.sequence import heading_path
 from textloom.session import cut_lineage
+from textloom.sources.properties import guessed_level
 
 TREE = "doc_id string, part_name string, node_id int, parent_id int, kind string, para_id int, level int, num_id int, text string"
 
@@ -102,3 +105,32 @@ def section_stories(references: DataFrame, rels: DataFrame) -> DataFrame:
     upto = Window.partitionBy("doc_id", "story").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
     held = references.withColumn("rid", F.last("rid", ignorenulls=True).over(upto)).where("rid is not null")
     return held.join(rels, ["doc_id", "rid"]).select("doc_id", "section", "story", "part_name")
+
+
+def paragraph_contexts(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
+    """``paragraphs`` (as ``structure.paragraphs`` gives them) with ``style_name``, ``outline``, ``heading``,
+    ``is_heading``, ``in_table``, ``section_path`` and ``hint``, the context as text for a prompt.
+
+    The outline is the paragraph's own or that its style inherits; the heading's level follows from it, else from a
+    style called ``Heading n``. Styles are unique by document and id.
+    """
+    known = styles.select("doc_id", F.col("style_id").alias("p_style"), F.col("name").alias("style_name"))
+    outlines = inherited_outline(styles).select("doc_id", F.col("style_id").alias("p_style"), F.col("outline").alias("_o"))
+    rows = paragraphs.join(known, ["doc_id", "p_style"], "left").join(outlines, ["doc_id", "p_style"], "left")
+    rows = rows.withColumn("outline", F.coalesce("outline_lvl", "_o")).drop("_o")
+    level = F.coalesce(F.when(F.col("outline") >= 0, F.col("outline") + 1), guessed_level(F.coalesce("style_name", "p_style")))
+    rows = rows.withColumns({"heading": level, "in_table": F.col("container") == "table_cell", "_head": heading_text(F.col("text"), 100)})
+    rows = rows.withColumn("is_heading", F.col("heading").isNotNull())
+    rows = heading_path(rows, ["doc_id", "part_name"], ["event_index"], "heading", "_head").drop("_head")
+    line = lambda when, *parts: F.when(when, F.concat(*parts))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    hint = F.concat_ws(
+        "\n",
+        line(F.size("section_path") > 0, F.lit("Section path: "), F.array_join("section_path", " > ")),
+        line(F.col("is_heading"), F.lit("Paragraph role: Heading(level="), text("heading"), F.lit(")")),
+        line(F.coalesce("style_name", "p_style").isNotNull(), F.lit("Paragraph style: "), F.trim(F.coalesce("style_name", "p_style"))),
+        line(F.col("outline").isNotNull(), F.lit("Outline level: "), text("outline")),
+        line(F.col("num_id").isNotNull() | F.col("num_ilvl").isNotNull(), F.lit("List: numId="), text("num_id"), F.lit(" ilvl="), text("num_ilvl")),
+        line(F.col("in_table"), F.lit("In table: yes")),
+    )
+    return rows.withColumn("hint", hint)

@@ -70,7 +70,13 @@ def q_slots(spark: SparkSession, d: str) -> DataFrame:
 
 def q_sentence_segments(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d, "translation_a").withColumn("s", segments.split_sentences(F.col("translation_a")))
-    return rows.select("rec_id", segments.join_sentences(F.col("s")).alias("text"))
+    marked = F.transform("s", lambda x: F.concat(x["text"], F.lit("¦"), x["suffix"]))
+    return rows.select("rec_id", F.size("s").alias("segments"), F.array_join(marked, "|").alias("text"))
+
+
+def q_sentence_list(spark: SparkSession, d: str) -> DataFrame:
+    rows = records(spark, d, "translation_a").withColumn("s", segments.split_sentences(F.col("translation_a")))
+    return rows.select("rec_id", segments.sentence_list(F.col("s"), 300).alias("list"))
 
 
 def q_segmented_output(spark: SparkSession, d: str) -> DataFrame:
@@ -138,13 +144,16 @@ def q_projected(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (q_docx_entries, q_docx_paragraphs, q_markup_roundtrip, q_slots, q_sentence_segments, q_segmented_output, q_patches, q_accepted,
+    for f in (q_docx_entries, q_docx_paragraphs, q_markup_roundtrip, q_slots, q_sentence_segments, q_sentence_list, q_segmented_output, q_patches, q_accepted,
               q_legal_references, q_slot_output, q_stitched_duplicates, q_first_json, q_projected)
 }
 
 _FILES = "(SELECT DISTINCT rec_id, file_id, tu_id, para_style, source_surface AS s FROM paragraph_memory WHERE source_surface IS NOT NULL)"
 _WS = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: Sentences of a text ``t``, each with its white space behind a mark.
+_SENTENCES = rf"""list_filter(string_split(regexp_replace(t, '([.!?;。！？；])({_WS}+)|(\r?\n{_WS}*)', '\1' || chr(2) || '\2\3' || chr(1), 'g'), chr(1)), lambda x: x <> '')"""
+
 ORACLE: dict[str, str] = {
     "q_docx_entries": f"""
       SELECT file_id::VARCHAR AS doc_id, i::INT AS entry_idx, CASE i WHEN 0 THEN '[Content_Types].xml' ELSE 'word/document.xml' END AS name, 8 AS compression, 2024 AS year,
@@ -163,7 +172,16 @@ ORACLE: dict[str, str] = {
       SELECT file_id::VARCHAR AS doc_id, count(*) AS slots, sum(length(t))::BIGINT AS chars, count(*)::INT AS last_id
       FROM (SELECT file_id, unnest(string_split(s, chr(10))) AS t FROM {_FILES}) WHERE t <> '' GROUP BY 1
     """.replace("(SELECT file_id, unnest", "(SELECT file_id, unnest"),
-    "q_sentence_segments": "SELECT DISTINCT rec_id, translation_a AS text FROM paragraph_memory",
+    "q_sentence_segments": rf"""
+      WITH r AS (SELECT DISTINCT rec_id, translation_a AS t FROM paragraph_memory), p AS (SELECT rec_id, {_SENTENCES} AS ps FROM r)
+      SELECT rec_id, CASE WHEN ps IS NULL THEN NULL ELSE len(ps) END::INT AS segments, array_to_string(list_transform(ps, lambda x: CASE WHEN contains(x, chr(2)) THEN replace(x, chr(2), '¦') ELSE x || '¦' END), '|') AS text FROM p
+    """,
+    "q_sentence_list": rf"""
+      WITH r AS (SELECT DISTINCT rec_id, translation_a AS t FROM paragraph_memory), p AS (SELECT rec_id, {_SENTENCES} AS ps FROM r),
+      l AS (SELECT rec_id, list_transform(ps, lambda x, i: '[' || (i - 1) || '] ' || split_part(x, chr(2), 1) || chr(10)) AS ls FROM p),
+      k AS (SELECT rec_id, ls, len(list_filter(range(1, len(ls) + 1), lambda i: list_sum(list_transform(ls[1:i], lambda y: strlen(y))) <= 300)) AS n FROM l)
+      SELECT rec_id, CASE WHEN ls IS NULL THEN NULL ELSE array_to_string(ls[1:n], '') || CASE WHEN n < len(ls) THEN '... (truncated)' || chr(10) ELSE '' END END AS list FROM k
+    """,
     "q_segmented_output": """
       SELECT rec_id, string_agg(seg_text, '|' ORDER BY seg_idx) AS parsed
       FROM (SELECT DISTINCT sent_id, rec_id, seg_idx, seg_text FROM memory_sentences WHERE side = 'source') GROUP BY rec_id

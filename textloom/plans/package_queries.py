@@ -111,6 +111,28 @@ def q_pkg_filtered(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_pkg_filtered_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Elements left when sizes and bold are dropped as run properties, and styles' own values stay."""
+    rows = structure.filtered_events(_events(spark, d), [], [], drop_run_properties=("w:sz", "w:b"))
+    return rows.where(F.col("kind").isin("start", "empty") & F.col("name").isin("w:sz", "w:b", "w:i", "w:rPr")).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
+def q_pkg_contexts(spark: SparkSession, d: str) -> DataFrame:
+    evs = _events(spark, d)
+    known = properties.styles(evs)
+    rows = tree.paragraph_contexts(structure.paragraphs(evs).where("part_name = 'word/document.xml'"), known)
+    return rows.groupBy("doc_id", "p_style", "outline", "heading", "in_table").agg(F.count("*").alias("paragraphs"), F.count_if(F.col("hint").contains("In table: yes")).alias("hinted"))
+
+
+def q_pkg_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical hashes of parts before and after masking: texts of text elements do not count."""
+    own = packages(spark, d)
+    other = artifacts.merged_packages(artifacts.masked_packages(own).withColumn("slot_texts", F.transform("slot_texts", lambda t: F.concat(t, F.lit("x")))))
+    a = artifacts.canonical_hashes(docx.unpack(own))
+    b = artifacts.canonical_hashes(docx.unpack(other.select("doc_id", "content"))).withColumnRenamed("hash", "other")
+    return a.join(b, ["doc_id", "part_name"]).select("doc_id", "part_name", (F.col("hash") == F.col("other")).alias("same"))
+
+
 def q_pkg_section_stories(spark: SparkSession, d: str) -> DataFrame:
     rels = properties.relationships(_entries(spark, d)).where("source = 'word/document.xml'").select("doc_id", "rid", "part_name")
     return tree.section_stories(properties.section_references(_events(spark, d)), rels)
@@ -311,6 +333,19 @@ _FILES = f"(SELECT DISTINCT file_id, max(project_key) OVER (PARTITION BY file_id
 _DOC = "file_id::VARCHAR AS doc_id"
 
 ORACLE: dict[str, str] = {
+    "q_pkg_filtered_properties": f"""
+      SELECT {_DOC}, 'w:rPr' AS name, 2 * count(*) AS n FROM ({_R}) GROUP BY file_id
+      UNION ALL SELECT {_DOC}, 'w:i', count(*) FROM ({_R}) WHERE n % 3 <> 0 GROUP BY file_id
+    """,
+    "q_pkg_contexts": f"""
+      WITH p AS (SELECT file_id, para_style, n % 5 = 0 AS c FROM ({_R}) WHERE seen UNION ALL SELECT file_id, NULL, true FROM ({_R}) WHERE n % 5 = 0),
+      o AS (SELECT *, CASE para_style WHEN 'Heading1' THEN 0 WHEN 'Heading2' THEN 1 WHEN 'SubHeading' THEN 1 WHEN 'Deep' THEN 1 END AS outline FROM p)
+      SELECT {_DOC}, para_style AS p_style, outline, coalesce(outline + 1, CASE WHEN regexp_matches(para_style, '(?i)^heading *[0-9]+') THEN regexp_extract(para_style, '[0-9]+')::INT END)::INT AS heading,
+        c AS in_table, count(*) AS paragraphs, count(*) FILTER (c) AS hinted FROM o GROUP BY ALL
+    """,
+    "q_pkg_canonical": f"""
+      SELECT {_DOC}, x AS part_name, s AS same FROM {_FILES}, (VALUES ('[Content_Types].xml', true), ('word/document.xml', true), ('word/header1.xml', true), ('word/styles.xml', true), ('docProps/core.xml', false)) v(x, s)
+    """,
     "q_pkg_paragraphs": f"""
       WITH p AS (
         SELECT file_id, 'word/document.xml' AS part_name, n, 0 AS k, t, para_style, n % 5 = 0 AS c FROM ({_R}) WHERE seen

@@ -132,7 +132,7 @@ def q_candidate_terms(spark: SparkSession, d: str) -> DataFrame:
 def q_vector_norms(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").withColumn("n", retrieval.norm(F.col("embedding")))
     unit = retrieval.normalized(F.col("embedding"), F.col("n"))
-    return rows.select("vec_id", F.round("n", 5).alias("norm"), F.round(unit[0], 5).alias("first"))
+    return rows.select("vec_id", F.round("n", 5).alias("norm"), F.posexplode(unit).alias("dim", "x")).select("vec_id", "norm", "dim", F.round("x", 5).alias("x"))
 
 
 def q_nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -144,12 +144,23 @@ def q_nearest(spark: SparkSession, d: str) -> DataFrame:
 def q_mean_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").withColumn("weight", F.col("vec_id") % 7 + 1)
     mean = retrieval.weighted_mean(rows, ["label"], "embedding", "weight")
-    return mean.select("label", F.round(F.col("mean")[0], 5).alias("first"), F.round(F.col("mean")[63], 5).alias("last"), F.size("mean").alias("dims"))
+    return mean.select("label", F.posexplode("mean").alias("dim", "x")).select("label", "dim", F.round("x", 5).alias("x"))
+
+
+def q_limited(spark: SparkSession, d: str) -> DataFrame:
+    """The first five units of every file: the limit is the feature."""
+    return sequence.limited(records(spark, d, "file_id", "tu_id"), ["file_id"], ORDER, 5)
+
+
+def q_top_parts(spark: SparkSession, d: str) -> DataFrame:
+    rows = records(spark, d, "file_id", "tu_id", "part_name")
+    return sequence.top_values(rows, ["file_id"], "tu_id", "part_name", 6)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        q_limited, q_top_parts,
         q_numbering, q_neighbours, q_carried_style, q_heading_path, q_style_runs, q_blob_offsets, q_pack_chunks, q_apportioned, q_multiset_difference,
         q_multiset_recall, q_aligned_difference, q_translation_report, q_longest_unit, q_hierarchy_stats, q_glossary_matches, q_term_decisions,
         q_term_events, q_candidate_terms, q_vector_norms, q_nearest, q_mean_vectors,
@@ -168,6 +179,11 @@ _UPDATES = """(SELECT rec_id, pos, trim(src) AS src, tgt, kind FROM (
   FROM (SELECT DISTINCT ON (rec_id) * FROM paragraph_memory)) WHERE trim(src) <> '' AND tgt <> '')"""
 
 ORACLE: dict[str, str] = {
+    "q_limited": f"SELECT rec_id, file_id, tu_id FROM {_R} QUALIFY row_number() OVER {_W} <= 5",
+    "q_top_parts": f"""
+      SELECT file_id, part_name, n, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, f, part_name) AS k
+        FROM (SELECT file_id, part_name, count(*) AS n, min(tu_id) AS f FROM {_R} GROUP BY 1, 2)) WHERE k <= 6
+    """,
     "q_numbering": f"SELECT rec_id, row_number() OVER {_W} ::INT AS para_id, row_number() OVER (PARTITION BY file_id, part_name ORDER BY tu_id, rec_id)::INT AS part_id FROM {_R}",
     "q_neighbours": f"SELECT rec_id, lag(s) OVER {_W} AS prev_text, lead(s) OVER {_W} AS next_text FROM {_R}",
     "q_carried_style": f"SELECT rec_id, last_value(para_style IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY tu_id, rec_id ROWS UNBOUNDED PRECEDING) AS style FROM {_R}",
@@ -247,7 +263,8 @@ ORACLE: dict[str, str] = {
     """,
     "q_vector_norms": """
       WITH e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)
-      SELECT vec_id, round(n, 5) AS norm, round(CASE WHEN n > 0 THEN embedding[1]::DOUBLE / n ELSE embedding[1]::DOUBLE END, 5) AS first FROM e
+      SELECT vec_id, round(n, 5) AS norm, (generate_subscripts(embedding, 1) - 1)::INT AS dim,
+        round(unnest(list_transform(embedding, lambda x: CASE WHEN n > 0 THEN x::DOUBLE / n ELSE x::DOUBLE END)), 5) AS x FROM e
     """,
     "q_nearest": """
       WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -256,7 +273,7 @@ ORACLE: dict[str, str] = {
       SELECT query_id, id, score, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 5
     """,
     "q_mean_vectors": """
-      WITH e AS (SELECT label, vec_id % 7 + 1 AS w, embedding[1]::DOUBLE AS a, embedding[64]::DOUBLE AS z FROM embeddings)
-      SELECT label, round(sum(a * w) / sum(w), 5) AS first, round(sum(z * w) / sum(w), 5) AS last, 64 AS dims FROM e GROUP BY label
+      WITH e AS (SELECT label, vec_id % 7 + 1 AS w, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INT AS dim FROM embeddings)
+      SELECT label, dim, round(sum(x * w) / sum(w), 5) AS x FROM e GROUP BY label, dim
     """,
 }

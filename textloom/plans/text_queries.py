@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import language, masking, text, validate
-from textloom.session import table
+from textloom.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,9 +160,10 @@ def q_name_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_repeated_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Segments of 12 characters or more that a record's side holds twice or more."""
-    rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"]).where("length(seg_text) >= 12")
-    return rows.groupBy("rec_id", "side", "seg_text").agg(F.count("*").alias("times")).where("times >= 2")
+    """Lines of 12 characters or more that the documents of a source hold twice or more."""
+    lines = spread(table(spark, d, "documents").select("source", "text")).select("source", F.explode(F.split("text", "\n")).alias("line"))
+    rows = lines.select("source", F.trim(F.regexp_replace("line", r"(?U)\s+", " ")).alias("line")).where("length(line) >= 12")
+    return rows.groupBy("source", "line").agg(F.count("*").alias("times")).where("times >= 2")
 
 
 QUERIES: dict[str, Query] = {
@@ -219,6 +220,49 @@ def _bracket(text: str, characters: str) -> str:
 _BRACKETS = (("parens", "()（）"), ("square", "[]【】"), ("curly", "{}｛｝"), ("angle", "<>《》"))
 _SHORT_ELLIPSIS = "len(list_filter(regexp_extract_all({0}, '…+'), lambda x: length(x) < 8)) > 0"
 
+def _unfrozen_sql(text: str) -> str:
+    entries = "coalesce(list_sort(map_entries(m)), [])"
+    return (
+        f"list_reduce(list_prepend({text}, list_transform({entries}, lambda e: e.key || chr(1) || e.value)),"
+        " lambda a, x: replace(a, split_part(x, chr(1), 1), split_part(x, chr(1), 2)))"
+    )
+
+
+def _ascii(text: str) -> str:
+    """Letters beyond ASCII as ``q`` and marks beyond it as spaces, so that ASCII word boundaries are Unicode's."""
+    return rf"regexp_replace(regexp_replace({text}, '[^\pL\pN\pM_\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', 'q', 'g')"
+
+
+_ID = r"([0-9]+(?:[.,][0-9]+)*(?:-[0-9]+(?:[.,][0-9]+)*)?(?:\([A-Za-z0-9]+\))*|[IVXLCDM]{1,8})"
+
+
+def _compound(text: str, before: str = "", flags: str = "") -> str:
+    ids = rf"list_transform(regexp_extract_all({_ascii(text)}, '{flags}\b{before}{_ID}\b', 1), lambda x: upper(replace(x, ',', '.')))"
+    return rf"list_filter({ids}, lambda x: regexp_matches(x, '[.()-]') OR (regexp_matches(x, '[A-Za-z]') AND length(x) > 1))"
+
+
+_TIMES = "((length({0}) - length(replace({0}, {1}, ''))) // length({1}))"
+_MT = r"<<MT_[A-Za-z0-9_:\-]{1,64}>>"
+_BLOCKS = "string_split(regexp_replace({0}, '(<<MT_(?:TAB|BR|NBH|SHY)>>)', chr(1), 'g'), chr(1))"
+#: (rec_id, k, error): the first failing check of translation A, with the mask (k = m) and without (k = p).
+_VALIDATED = rf"""
+  WITH r AS (SELECT DISTINCT ON (rec_id) * FROM paragraph_memory),
+  u AS (SELECT rec_id, 'm' AS k, coalesce(frozen_surface, '') AS s, coalesce(translation_a, '') AS t, nt_map AS m FROM r
+    UNION ALL SELECT rec_id, 'p', coalesce(source_surface, ''), coalesce(translation_a, ''), MAP {{}}::MAP(VARCHAR, VARCHAR) FROM r),
+  x AS (SELECT *, coalesce(map_keys(m), []) AS keys, regexp_replace({_unfrozen_sql("s")}, '{_MT}', ' ', 'g') AS sp, regexp_replace({_unfrozen_sql("t")}, '{_MT}', ' ', 'g') AS tp,
+    {_BLOCKS.format("s")} AS sb, {_BLOCKS.format("t")} AS tb FROM u),
+  y AS (SELECT *, {_compound("sp", r"(?:section|article|clause|paragraph|schedule|sec|art|cl|para|sch)[.]?\s+", "(?i)")} AS refs, {_compound("sp")} AS own, {_compound("tp")} AS found FROM x)
+  SELECT rec_id, k, CASE WHEN regexp_full_match(t, '{_WS}*') THEN 'empty_output'
+    WHEN len(list_filter(regexp_extract_all(t, '{_MT}'), lambda z: NOT list_contains(regexp_extract_all(s, '{_MT}'), z))) > 0 THEN 'unexpected_mt_token'
+    WHEN list_filter(regexp_extract_all(s, '{_SENTINEL}'), lambda z: NOT starts_with(z, '<<MT_NT:')) <> list_filter(regexp_extract_all(t, '{_SENTINEL}'), lambda z: NOT starts_with(z, '<<MT_NT:')) THEN 'sentinel_sequence_mismatch'
+    WHEN list_transform(sb, lambda z: regexp_full_match(z, '{_WS}*')) <> list_transform(tb, lambda z: regexp_full_match(z, '{_WS}*')) THEN 'control_token_layout_mismatch'
+    WHEN len(list_filter(keys, lambda z: {_TIMES.format("s", "z")} <> {_TIMES.format("t", "z")})) > 0 THEN 'nt_token_count_mismatch'
+    WHEN len(list_filter(keys, lambda z: list_transform(sb, lambda b: {_TIMES.format("b", "z")}) <> list_transform(tb, lambda b: {_TIMES.format("b", "z")}))) > 0 THEN 'nt_token_control_block_mismatch'
+    WHEN list_sort(regexp_extract_all(sp, '\p{{Nd}}+')) <> list_sort(regexp_extract_all(tp, '\p{{Nd}}+')) THEN 'digits_mismatch'
+    WHEN len(list_filter(refs, lambda z: len(list_filter(refs, lambda q: q = z)) <> len(list_filter(found, lambda q: q = z)))) > 0 THEN 'legal_ref_id_mismatch'
+    WHEN len(own) > 0 AND list_sort(own) <> list_sort(found) THEN 'compound_legal_id_mismatch' END AS error FROM y
+"""
+
 ORACLE: dict[str, str] = {
     "q_lang_profile": r"""
       WITH lines AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -345,9 +389,11 @@ ORACLE: dict[str, str] = {
         regexp_full_match(part_name, 'word/f.*\.xml') AS is_footer, tu_kind || ' in ' || part_name AS label
       FROM paragraph_memory
     """,
-    "q_repeated_sentences": """
-      SELECT rec_id, side, seg_text, count(*) AS times
-      FROM (SELECT DISTINCT sent_id, rec_id, side, seg_text FROM memory_sentences) WHERE length(seg_text) >= 12
-      GROUP BY 1, 2, 3 HAVING count(*) >= 2
+    "q_repeated_sentences": rf"""
+      WITH l AS (SELECT source, trim(regexp_replace(unnest(string_split(text, chr(10))), '{_WS}+', ' ', 'g')) AS line FROM documents)
+      SELECT source, line, count(*) AS times FROM l WHERE length(line) >= 12 GROUP BY 1, 2 HAVING count(*) >= 2
+    """,
+    "q_validate": f"""
+      SELECT rec_id, max(error) FILTER (k = 'm') AS masked_error, max(error) FILTER (k = 'p') AS plain_error FROM ({_VALIDATED}) GROUP BY rec_id
     """,
 }

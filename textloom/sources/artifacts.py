@@ -335,3 +335,36 @@ def blob_offsets(entries: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("entry_idx").rowsBetween(Window.unboundedPreceding, -1)
     length = F.octet_length("data").cast("bigint")
     return entries.select("doc_id", "entry_idx", F.coalesce(F.sum(length).over(before), F.lit(0)).alias("offset"), length.alias("length"), F.sha2("data", 256).alias("sha256"))
+
+
+def canonical_hash(data: bytes, text_tags: frozenset[str] = frozenset({"w:t", "a:t", "w:delText"}), without: frozenset[str] = frozenset({"xml:space"})) -> str:
+    """SHA-256 of a part's canonical form: no comments or declarations, attributes in order, empty elements opened,
+    CDATA as text; texts of ``text_tags`` and the attributes ``without`` do not count."""
+    out = []
+    for kind, name, attrs, text, path in parse_markup(data.decode("utf-8", "replace")):
+        if kind in ("start", "empty"):
+            out.append(f"<{name}" + "".join(f' {k}="{v}"' for k, v in sorted((a["k"], a["v"]) for a in attrs) if k not in without) + ">")
+        if kind in ("end", "empty"):
+            out.append(f"</{name}>")
+        elif kind in ("text", "cdata") and path.rsplit("/", 1)[-1] not in text_tags:
+            out.append(text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+        elif kind == "pi":
+            out.append(f"<?{text}?>")
+    return hashlib.sha256("".join(out).encode()).hexdigest()
+
+
+def canonical_hashes(entries: DataFrame) -> DataFrame:
+    """(doc_id, part_name, hash) of the XML parts by ``canonical_hash``; null for a part that is not well-formed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for data in batch.column(2).to_pylist():
+                try:
+                    found.append(canonical_hash(data))
+                except MarkupError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["doc_id", "part_name", "hash"])
+
+    xml = entries.where(F.lower("name").endswith(".xml") & (F.octet_length("data") > 0)).select("doc_id", F.col("name").alias("part_name"), "data")
+    return xml.mapInArrow(run, "doc_id string, part_name string, hash string")

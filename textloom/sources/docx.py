@@ -184,7 +184,7 @@ def events(entries: DataFrame, strict: bool = True) -> DataFrame:
                 for at in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000]), types)], names=names)
 
-    xml = entries.where(is_xml(F.col("name")) & ~F.col("is_dir")).select("doc_id", F.col("name").alias("part_name"), "data")
+    xml = entries.where(is_xml(F.col("name")) & ~F.col("is_dir") & (F.octet_length("data") > 0)).select("doc_id", F.col("name").alias("part_name"), "data")
     return xml.mapInArrow(parse, EVENTS)
 
 
