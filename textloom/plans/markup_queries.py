@@ -64,7 +64,7 @@ def q_markup_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_slots(spark: SparkSession, d: str) -> DataFrame:
-    rows = docx.slots(_events(spark, d)).where("part_name = 'word/document.xml'")
+    rows = docx.slots(_events(spark, d))
     return rows.groupBy("doc_id").agg(F.count("*").alias("slots"), F.sum(F.length("slot_text")).alias("chars"), F.max("slot_id").alias("last_id"))
 
 
@@ -80,11 +80,11 @@ def q_sentence_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_segmented_output(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"]).where("side = 'source'")
+    rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"])
     line = F.concat(F.format_string("<<MT_SEG:%06d>>", "seg_idx"), "seg_text", F.format_string("<<MT_END:%06d>>\n", "seg_idx"))
     ordered = F.array_sort(F.collect_list(F.struct("seg_idx", line.alias("line"))))
-    texts = rows.groupBy("rec_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "").alias("text"), F.array_sort(F.collect_list("seg_idx")).alias("ids"))
-    return texts.select("rec_id", F.array_join(segments.segmented_output(F.col("text"), F.col("ids")), "|").alias("parsed"))
+    texts = rows.groupBy("rec_id", "side").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "").alias("text"), F.array_sort(F.collect_list("seg_idx")).alias("ids"))
+    return texts.select("rec_id", "side", F.array_join(segments.segmented_output(F.col("text"), F.col("ids")), "|").alias("parsed"))
 
 
 def q_patches(spark: SparkSession, d: str) -> DataFrame:
@@ -112,19 +112,19 @@ def q_legal_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_slot_output(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"]).where("side = 'source'")
+    rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"])
     ordered = F.array_sort(F.collect_list(F.struct("seg_idx", F.concat(F.format_string("<<MT_SLOT:%06d>>", "seg_idx"), "seg_text").alias("line"))))
-    texts = rows.groupBy("rec_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "").alias("text"), F.array_sort(F.collect_list("seg_idx")).alias("ids"))
-    return texts.select("rec_id", F.array_join(segments.slot_output(F.col("text"), F.col("ids")), "|").alias("parsed"))
+    texts = rows.groupBy("rec_id", "side").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "").alias("text"), F.array_sort(F.collect_list("seg_idx")).alias("ids"))
+    return texts.select("rec_id", "side", F.array_join(segments.slot_output(F.col("text"), F.col("ids")), "|").alias("parsed"))
 
 
 def q_stitched_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Records whose side a repeats a segment of 24 characters or more while the source at its place is unique."""
+    """Sides a and b that repeat a segment of 24 characters or more while the source at its place is unique."""
     rows = table(spark, d, "memory_sentences").dropDuplicates(["sent_id"]).withColumn("n", F.trim(F.regexp_replace("seg_text", r"(?U)\s+", " ")))
     src = rows.where("side = 'source'").withColumn("s_times", F.count("*").over(Window.partitionBy("rec_id", "n"))).select("rec_id", "seg_idx", F.when(F.length("n") >= 24, F.col("s_times")).otherwise(0).alias("s_times"))
-    out = rows.where("side = 'a' and length(n) >= 24").withColumn("o_times", F.count("*").over(Window.partitionBy("rec_id", "n")))
+    out = rows.where("side <> 'source' and length(n) >= 24").withColumn("o_times", F.count("*").over(Window.partitionBy("rec_id", "side", "n")))
     pairs = out.join(src, ["rec_id", "seg_idx"])
-    return pairs.groupBy("rec_id").agg(F.max((F.col("o_times") >= 2) & (F.col("s_times") <= 1)).alias("duplicated"))
+    return pairs.groupBy("rec_id", "side").agg(F.max((F.col("o_times") >= 2) & (F.col("s_times") <= 1)).alias("duplicated"))
 
 
 def q_first_json(spark: SparkSession, d: str) -> DataFrame:
@@ -183,18 +183,18 @@ ORACLE: dict[str, str] = {
       SELECT rec_id, CASE WHEN ls IS NULL THEN NULL ELSE array_to_string(ls[1:n], '') || CASE WHEN n < len(ls) THEN '... (truncated)' || chr(10) ELSE '' END END AS list FROM k
     """,
     "q_segmented_output": """
-      SELECT rec_id, string_agg(seg_text, '|' ORDER BY seg_idx) AS parsed
-      FROM (SELECT DISTINCT sent_id, rec_id, seg_idx, seg_text FROM memory_sentences WHERE side = 'source') GROUP BY rec_id
+      SELECT rec_id, side, string_agg(seg_text, '|' ORDER BY seg_idx) AS parsed
+      FROM (SELECT DISTINCT sent_id, rec_id, side, seg_idx, seg_text FROM memory_sentences) GROUP BY rec_id, side
     """,
     "q_slot_output": """
-      SELECT rec_id, string_agg(seg_text, '|' ORDER BY seg_idx) AS parsed
-      FROM (SELECT DISTINCT sent_id, rec_id, seg_idx, seg_text FROM memory_sentences WHERE side = 'source') GROUP BY rec_id
+      SELECT rec_id, side, string_agg(seg_text, '|' ORDER BY seg_idx) AS parsed
+      FROM (SELECT DISTINCT sent_id, rec_id, side, seg_idx, seg_text FROM memory_sentences) GROUP BY rec_id, side
     """,
     "q_stitched_duplicates": rf"""
       WITH s AS (SELECT DISTINCT sent_id, rec_id, side, seg_idx, trim(regexp_replace(seg_text, '{_WS}+', ' ', 'g')) AS n FROM memory_sentences),
       a AS (SELECT rec_id, seg_idx, CASE WHEN length(n) >= 24 THEN count(*) OVER (PARTITION BY rec_id, n) ELSE 0 END AS st FROM s WHERE side = 'source'),
-      o AS (SELECT rec_id, seg_idx, count(*) OVER (PARTITION BY rec_id, n) AS ot FROM s WHERE side = 'a' AND length(n) >= 24)
-      SELECT rec_id, bool_or(ot >= 2 AND st <= 1) AS duplicated FROM o JOIN a USING (rec_id, seg_idx) GROUP BY rec_id
+      o AS (SELECT rec_id, side, seg_idx, count(*) OVER (PARTITION BY rec_id, side, n) AS ot FROM s WHERE side <> 'source' AND length(n) >= 24)
+      SELECT rec_id, side, bool_or(ot >= 2 AND st <= 1) AS duplicated FROM o JOIN a USING (rec_id, seg_idx) GROUP BY rec_id, side
     """,
     "q_first_json": r"""
       SELECT line_id, trim(lower(json_extract_string(p, '$.tu_kind'))) AS kind, json_extract_string(p, '$.tu_id')::INT AS tu_id

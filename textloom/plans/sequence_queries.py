@@ -86,8 +86,10 @@ def q_aligned_difference(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_translation_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = with_files(spark, d, "source_surface", "translation_a")
-    return compare.translation_report(rows, ["source_lang", "target_lang"], "source_surface", "translation_a")
+    rows = with_files(spark, d, "source_surface", "translation_a", "translation_b")
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"translation_{s}").alias("t")) for s in "ab"]))
+    rows = rows.withColumn("_s", sides).select("source_lang", "target_lang", "_s.side", "source_surface", F.col("_s.t").alias("translated"))
+    return compare.translation_report(rows, ["source_lang", "target_lang", "side"], "source_surface", "translated")
 
 
 def q_longest_unit(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +127,7 @@ def q_term_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_candidate_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = with_files(spark, d, "source_surface").where("source_lang = 'en'").select(F.col("file_id"), "source_surface")
+    rows = records(spark, d, "file_id", "source_surface").select("file_id", "source_surface")
     return terms.candidate_terms(rows, "source_surface", ["file_id"], 40)
 
 
@@ -238,10 +240,11 @@ ORACLE: dict[str, str] = {
       FROM a FULL JOIN b USING (rec_id, seg_idx) WHERE a.sent_id IS NULL OR b.sent_id IS NULL OR a.seg_text IS DISTINCT FROM b.seg_text OR a.suffix IS DISTINCT FROM b.suffix
     """,
     "q_translation_report": r"""
-      SELECT source_lang, target_lang, count(*) AS units, count(*) FILTER (s <> t) AS changed, count(*) FILTER (s = t) AS unchanged,
+      SELECT source_lang, target_lang, side, count(*) AS units, count(*) FILTER (s <> t) AS changed, count(*) FILTER (s = t) AS unchanged,
         count(*) FILTER (s = t AND regexp_matches(s, '[A-Za-z]')) AS latin_unchanged, count(*) FILTER (regexp_matches(t, '[\x{4e00}-\x{9fff}]')) AS with_han,
         round(count(*) FILTER (s <> t) / count(*), 6) AS changed_rate, round(count(*) FILTER (regexp_matches(t, '[\x{4e00}-\x{9fff}]')) / count(*), 6) AS han_rate
-      FROM (SELECT DISTINCT rec_id, source_lang, target_lang, coalesce(source_surface, '') AS s, coalesce(translation_a, '') AS t FROM paragraph_memory JOIN memory_files USING (file_id)) GROUP BY 1, 2
+      FROM (SELECT DISTINCT rec_id, side, source_lang, target_lang, coalesce(source_surface, '') AS s, coalesce(CASE side WHEN 'a' THEN translation_a ELSE translation_b END, '') AS t
+        FROM paragraph_memory JOIN memory_files USING (file_id), (VALUES ('a'), ('b')) v(side)) GROUP BY 1, 2, 3
     """,
     "q_longest_unit": f"""
       SELECT file_id, rec_id, length(s)::INT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY length(s) DESC, tu_id, rec_id) AS k FROM {_R}) WHERE k = 1
