@@ -15,7 +15,38 @@ _FREQUENCY = f"""
   FROM ({_ELEMENTS}) GROUP BY field, term
 """
 
+_MARKS = r"[\p{P}|^`~｜]"
+_BLANK = r"[\s\x{000b}\x{0085}\p{Z}]"
+
+
+def _canonical(text: str) -> str:
+    """A text without formatting, as the operator of problem 6 has it; marks between two digits stay, behind a sign."""
+    low = f"lower(upper({text}))"
+    behind = rf"regexp_replace({low}, '(\p{{Nd}})({_MARKS})', '\1' || chr(3) || '\2', 'g')"
+    between = rf"regexp_replace({behind}, '\x03({_MARKS}\p{{Nd}})', chr(4) || '\1', 'g')"
+    return rf"regexp_replace({between}, '(\x04{_MARKS})|{_MARKS}|{_BLANK}|[\p{{Cc}}\p{{Cf}}]', '\1', 'g')"
+
+
+#: (id, key) of every line.
+_LINES = rf"""
+  WITH l AS (SELECT DISTINCT line_id AS id, regexp_replace(payload, '^(?:\x{{feff}}|\s)+', '') AS p FROM memory_lines WHERE line_id IS NOT NULL),
+  r AS (SELECT id, lower(regexp_replace(coalesce(CASE WHEN json_valid(p) THEN json_extract_string(p, '$.tu_kind') END, ''), '^({_BLANK}|\p{{Cf}})+|({_BLANK}|\p{{Cf}})+$', '', 'g')) AS kind,
+    CASE WHEN json_valid(p) THEN json_extract_string(p, '$."原文"') END AS t FROM l),
+  i AS (SELECT *, list_filter(regexp_split_to_array(t, '[;；|｜]'), lambda x: length({_canonical("x")}) > 0) AS parts FROM r)
+  SELECT id, CASE WHEN t IS NULL THEN NULL WHEN kind = 'other' AND len(parts) >= 2 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '(?s)^[^:：]+[:：].*[^\s\x{{000b}}\x{{0085}}\p{{Z}}]'))) = 0
+    THEN kind || chr(2) || 'list' || chr(1) || array_to_string(list_sort(list_transform(parts, lambda x: {_canonical("x")})), chr(1))
+    ELSE kind || chr(2) || {_canonical("t")} END AS key FROM i
+"""
+
 ORACLE: dict[str, str] = {
+    "p6_records": f"""
+      WITH k AS ({_LINES})
+      SELECT min(id) AS keep_id, count(*) AS copies FROM k WHERE key IS NOT NULL GROUP BY key UNION ALL SELECT id, 1 FROM k WHERE key IS NULL
+    """,
+    "p6_found": f"""
+      WITH k AS ({_LINES}), m AS (SELECT id, min(id) OVER (PARTITION BY key) AS keep_id FROM k WHERE key IS NOT NULL)
+      SELECT keep_id, id AS copy_id FROM m WHERE id <> keep_id
+    """,
     "p7_frequency": _FREQUENCY,
     "p7_found": f"""
       SELECT field, term, CASE WHEN records <= 2 THEN 'rare' ELSE 'common' END AS mark
