@@ -23,6 +23,19 @@ def normalized(vector: Column, length: Column) -> Column:
     return F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
 
 
+def scaled(vector: Column, kind: str, p: float = 2.0) -> Column:
+    """``vector`` by its largest absolute value (``max``), its p-norm (``norm``) or as it is (``none``); unchanged
+    where that is zero."""
+    if kind == "none":
+        return F.transform(vector, lambda x: x.cast("double"))
+    size = {
+        "max": lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double")))),
+        "norm": lambda v: F.pow(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(F.abs(x.cast("double")), F.lit(p))), F.lit(1.0 / p)),
+    }[kind](vector)
+    own = F.get(F.transform(F.array(F.struct(vector.alias("v"), size.alias("n"))), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(x.cast("double")))), F.lit(0))
+    return F.when(vector.isNotNull(), own)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 for empty vectors, unequal lengths and zero norms."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -420,6 +420,16 @@ ORACLE: dict[str, str] = {
         (len(h1) + len(h2) - (len(h1) > 0 AND len(h2) > 0 AND n % 3 = 0 AND right(left(t, length(t) // 2), 1) <> chr(10) AND substring(t, length(t) // 2 + 1, 1) <> chr(10))::INT)::INT AS spans
       FROM ({_HALVES}) WHERE seen AND t <> '.'
     """,
+    "q_pkg_projected": f"""
+      SELECT {_DOC}, (1 + count(*) FILTER (seen) OVER w + count(*) FILTER (n % 5 = 0) OVER w)::INT AS tu_id,
+        (len(h1) + len(h2) - (len(h1) > 0 AND len(h2) > 0 AND n % 3 = 0 AND right(left(t, length(t) // 2), 1) <> chr(10) AND substring(t, length(t) // 2 + 1, 1) <> chr(10))::INT)::INT AS pieces,
+        md5(translate(replace(t, chr(10), ''), 'aeiou', 'AEIOU')) AS text, NULL::VARCHAR AS error
+      FROM ({_HALVES}) WINDOW w AS (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY seen AND t <> '.'
+    """,
+    "q_pkg_mask_merge": f"""
+      SELECT {_DOC}, (sum(len(h1) + len(h2) + (n % 5 = 0)::INT) + 3)::INT AS slots, NULL::VARCHAR AS error, NULL::VARCHAR AS same, 'entry content: word/document.xml' AS changed
+      FROM ({_HALVES}) GROUP BY file_id
+    """,
     "q_pkg_entry_differences": f"""
       SELECT {_DOC}, x AS name, w AS difference FROM {_FILES}, (VALUES ('word/header1.xml', 'missing'), ('docProps/core.xml', 'changed')) v(x, w)
     """,

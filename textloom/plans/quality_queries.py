@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import issues, language, normalize, validate
+from textloom.functions.patterns import BRACKETS
 from textloom.functions.text import sentinels
 from textloom.plans.text_queries import _ENGLISH, _NOT_OTHER, _SENTINEL, _WS, _n, records, with_files
 from textloom.plans.text_queries import ORACLE as TEXT_ORACLE
@@ -274,6 +275,15 @@ _RISK = (
 ).replace(" ", r"\s+")
 _FLAGS = TEXT_ORACLE["q_quality_flags"]
 
+
+def _note(characters: str) -> str:
+    a, b = (f"(length({t}) - length(translate({t}, '{characters}', '')))" for t in "st")
+    return f"CASE WHEN {a} <> {b} THEN printf('{characters[:2]}:src=%d tgt=%d', {a}, {b}) END"
+
+
+_NOTES = ", ".join(_note(c) for _, c in BRACKETS)
+_MORE = _FLAGS.replace("SELECT rec_id, sn AS src_chars", f"SELECT rec_id, ratio, han, latin, array_to_string(list_filter([{_NOTES}], lambda y: y IS NOT NULL), ' | ') AS notes, sn AS src_chars")
+
 ORACLE: dict[str, str] = {
     "q_detect_pair": rf"""
       WITH r AS (
@@ -354,6 +364,12 @@ ORACLE: dict[str, str] = {
       SELECT rec_id, regexp_matches(hard_flags, '(^|,)(output_identical_to_source|contains_ellipsis_placeholder|len_ratio_too_(short|long)_extreme|target_script_missing_\w+)($|,)') AS again
       FROM ({_FLAGS})
     """,
+    "q_rendered_quality": f"""
+      SELECT rec_id, concat_ws(chr(10), 'QUALITY_HEURISTICS:', printf('- len: src_chars=%d tgt_chars=%d ratio=%.2f', src_chars, tgt_chars, ratio),
+        printf('- scripts: han_ratio=%.2f latin_alpha_ratio=%.2f', han, latin), CASE WHEN notes <> '' THEN '- brackets: ' || notes END,
+        CASE WHEN hard_flags <> '' THEN '- hard_flags: ' || replace(hard_flags, ',', ' | ') END, CASE WHEN soft_flags <> '' THEN '- soft_flags: ' || replace(soft_flags, ',', ' | ') END) AS report
+      FROM ({_MORE})
+    """,
     "q_glossary_leaks": rf"""
       WITH g AS (SELECT term_id, trim(src) AS en, trim(tgt) AS zh, list_transform(regexp_extract_all(src, '[A-Za-z]{{4,}}'), lambda w: lower(w)) AS ws FROM glossary),
       b AS (SELECT *, lag(source_surface) OVER (PARTITION BY file_id ORDER BY tu_id, rec_id) AS p FROM (SELECT DISTINCT ON (rec_id) * FROM paragraph_memory)),

@@ -137,6 +137,21 @@ def q_vector_norms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.round("n", 5).alias("norm"), F.posexplode(unit).alias("dim", "x")).select("vec_id", "norm", "dim", F.round("x", 5).alias("x"))
 
 
+def q_scaled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors by their largest value and by their 3-norm, all dimensions."""
+    v = F.col("embedding")
+    both = F.arrays_zip(retrieval.scaled(v, "max").alias("m"), retrieval.scaled(v, "norm", 3.0).alias("n"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(both).alias("dim", "x"))
+    return rows.select("vec_id", "dim", F.round("x.m", 5).alias("by_max"), F.round("x.n", 5).alias("by_norm"))
+
+
+def q_nearest_excluding(spark: SparkSession, d: str) -> DataFrame:
+    """As ``q_nearest``, but no query matches the ids next to its own."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").withColumn("out", F.array(F.col("vec_id") - 1, F.col("vec_id") + 1))
+    return retrieval.nearest(rows, asked, "vec_id", "embedding", "label", 5, exclude_col="out").select("query_id", "id", "score", "rank")
+
+
 def q_nearest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     found = retrieval.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", 5)
@@ -162,7 +177,7 @@ def q_top_parts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        q_limited, q_top_parts,
+        q_limited, q_top_parts, q_scaled_vectors, q_nearest_excluding,
         q_numbering, q_neighbours, q_carried_style, q_heading_path, q_style_runs, q_blob_offsets, q_pack_chunks, q_apportioned, q_multiset_difference,
         q_multiset_recall, q_aligned_difference, q_translation_report, q_longest_unit, q_hierarchy_stats, q_glossary_matches, q_term_decisions,
         q_term_events, q_candidate_terms, q_vector_norms, q_nearest, q_mean_vectors,
@@ -269,6 +284,17 @@ ORACLE: dict[str, str] = {
       SELECT vec_id, round(n, 5) AS norm, (generate_subscripts(embedding, 1) - 1)::INT AS dim,
         round(unnest(list_transform(embedding, lambda x: CASE WHEN n > 0 THEN x::DOUBLE / n ELSE x::DOUBLE END)), 5) AS x FROM e
     """,
+    "q_scaled_vectors": """
+      WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+      s AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS m, pow(list_sum(list_transform(v, lambda x: pow(abs(x), 3.0))), 1.0 / 3) AS n FROM e)
+      SELECT vec_id, (generate_subscripts(v, 1) - 1)::INT AS dim, round(unnest(v) / CASE WHEN m > 0 THEN m ELSE 1 END, 5) AS by_max, round(unnest(v) / CASE WHEN n > 0 THEN n ELSE 1 END, 5) AS by_norm FROM s
+    """,
+    "q_nearest_excluding": """
+      WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+      s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_cosine_similarity(q.v, r.v) + CASE WHEN q.label = r.label THEN 0.02 ELSE 0 END, 6) AS score
+        FROM e q JOIN e r ON q.vec_id % 50 = 0 AND abs(q.vec_id - r.vec_id) > 1)
+      SELECT query_id, id, score, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 5
+    """,
     "q_nearest": """
       WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
       s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_cosine_similarity(q.v, r.v) + CASE WHEN q.label = r.label THEN 0.02 ELSE 0 END, 6) AS score
