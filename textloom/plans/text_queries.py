@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import language, masking, text, validate
+from textloom.functions.patterns import FREEZE_ALTERNATIVES
 from textloom.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +107,13 @@ def q_freeze(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rec_id", "frozen", F.size("nt").alias("tokens"), F.size("spans").alias("spans"))
 
 
+def q_freeze_originals(spark: SparkSession, d: str) -> DataFrame:
+    """What is frozen, place by place; wide digits are given as narrow ones."""
+    rows = masking.frozen(records(spark, d, "source_surface"), "source_surface")
+    found = F.translate(F.array_join(F.transform("spans", lambda s: s["original"]), "|"), "０１２３４５６７８９", "0123456789")
+    return rows.select("rec_id", found.alias("originals"), F.size("spans").alias("spans"))
+
+
 def q_freeze_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rows = masking.frozen(records(spark, d, "source_surface").where("source_surface is not null"), "source_surface")
     return rows.select("rec_id", masking.unfreeze(F.col("frozen"), F.map_from_entries("nt")).alias("text"))
@@ -170,7 +178,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         q_lang_profile, q_trivial_units, q_script_metrics, q_language_pair, q_scope_types, q_translate_decision, q_must_keep, q_control_parts,
-        q_token_formats, q_freeze, q_freeze_roundtrip, q_unfreeze, q_validate, q_validate_digits, q_quality_flags, q_similarity_form, q_name_forms,
+        q_token_formats, q_freeze, q_freeze_originals, q_freeze_roundtrip, q_unfreeze, q_validate, q_validate_digits, q_quality_flags, q_similarity_form, q_name_forms,
         q_repeated_sentences,
     )
 }
@@ -263,7 +271,21 @@ _VALIDATED = rf"""
     WHEN len(own) > 0 AND list_sort(own) <> list_sort(found) THEN 'compound_legal_id_mismatch' END AS error FROM y
 """
 
+#: Letters beyond ASCII. Between one and an ASCII letter or digit is no word boundary; an underscore tells RE2 so.
+_BEYOND = (
+    r"[\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2c1}\x{300}-\x{1fff}\x{3005}-\x{3007}\x{3041}-\x{3096}\x{309d}-\x{309f}\x{30a1}-\x{30fa}"
+    r"\x{30fc}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}\x{20000}-\x{2ebef}]"
+)
+_NARROW = "translate(t, '０１２３４５６７８９', '0123456789')"
+_BOUNDED = rf"regexp_replace(regexp_replace({_NARROW}, '({_BEYOND})([0-9A-Za-z])', '\1' || chr(1) || '_\2', 'g'), '([0-9A-Za-z)])({_BEYOND})', '\1_' || chr(1) || '\2', 'g')"
+_FREEZE = "|".join([_SENTINEL, *(a.replace(r"\s", _WS[1:-1]) for a in FREEZE_ALTERNATIVES)]).replace("'", "''")
+
 ORACLE: dict[str, str] = {
+    "q_freeze_originals": f"""
+      WITH r AS (SELECT DISTINCT rec_id, source_surface AS t FROM paragraph_memory),
+      m AS (SELECT rec_id, list_filter(regexp_extract_all({_BOUNDED}, '{_FREEZE}'), lambda x: NOT regexp_full_match(x, '{_SENTINEL}')) AS ms FROM r)
+      SELECT rec_id, array_to_string(ms, '|') AS originals, len(ms)::INT AS spans FROM m
+    """,
     "q_lang_profile": r"""
       WITH lines AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)
       SELECT lang, count(*) AS paragraphs,
