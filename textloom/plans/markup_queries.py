@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import references
 from textloom.operators import model, projection, segments, structure
-from textloom.plans.text_queries import records
+from textloom.plans.text_queries import _ID, _VALIDATED, _ascii, records
 from textloom.session import table
 from textloom.sources import docx
 
@@ -154,7 +154,29 @@ _WS = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 #: Sentences of a text ``t``, each with its white space behind a mark.
 _SENTENCES = rf"""list_filter(string_split(regexp_replace(t, '([.!?;。！？；])({_WS}+)|(\r?\n{_WS}*)', '\1' || chr(2) || '\2\3' || chr(1), 'g'), chr(1)), lambda x: x <> '')"""
 
+_EN_KIND = "lower(CASE WHEN f1 <> '' THEN f1 ELSE g1 END)"
+_EN_ID = "CASE WHEN f1 <> '' THEN f2 ELSE g2 END"
+
 ORACLE: dict[str, str] = {
+    "q_accepted": f"""
+      SELECT CASE WHEN e IS NULL AND a IS NOT NULL THEN 'translation_a' WHEN o IS NULL AND f IS NOT NULL THEN 'model_text' ELSE 'source' END AS accepted_from, count(*) AS units
+      FROM (SELECT rec_id, max(error) FILTER (k = 'm') AS e FROM ({_VALIDATED}) GROUP BY rec_id)
+      JOIN (SELECT rec_id, max(error) FILTER (k = 'm') AS o FROM ({_VALIDATED.replace("coalesce(translation_a, '') AS t", "coalesce(frozen_surface, '') AS t")}) GROUP BY rec_id) USING (rec_id)
+      JOIN (SELECT DISTINCT rec_id, translation_a AS a, frozen_surface AS f FROM paragraph_memory) USING (rec_id) GROUP BY 1
+    """,
+    "q_legal_references": rf"""
+      WITH s AS (SELECT DISTINCT sent_id, seg_text AS x, {_ascii("seg_text")} AS a FROM memory_sentences),
+      m AS (SELECT sent_id, x, regexp_matches(x, '[一-鿿]') AS zh, regexp_extract(a, '(?i)\b(section|article|clause|paragraph|schedule)s?\s+{_ID}\b', 1) AS f1,
+        regexp_extract(a, '(?i)\b(section|article|clause|paragraph|schedule)s?\s+{_ID}\b', 2) AS f2, regexp_extract(a, '(?i)\b(sec|art|cl|para|sch)s?[.]\s+{_ID}\b', 1) AS g1,
+        regexp_extract(a, '(?i)\b(sec|art|cl|para|sch)s?[.]\s+{_ID}\b', 2) AS g2,
+        regexp_extract(x, '第\s*([0-9]+(?:\([A-Za-z0-9]+\))*)\s*(条|款|节|段|章|篇)((?:\([A-Za-z0-9]+\))*)', 1) AS n, regexp_extract(x, '第\s*([0-9]+(?:\([A-Za-z0-9]+\))*)\s*(条|款|节|段|章|篇)((?:\([A-Za-z0-9]+\))*)', 2) AS mark,
+        regexp_extract(x, '第\s*([0-9]+(?:\([A-Za-z0-9]+\))*)\s*(条|款|节|段|章|篇)((?:\([A-Za-z0-9]+\))*)', 3) AS more, regexp_extract(x, '附表\s*([0-9]+(?:\([A-Za-z0-9]+\))*)', 1) AS sched FROM s),
+      k AS (SELECT *, {_EN_KIND} AS kind, {_EN_ID} AS id FROM m),
+      p AS (SELECT *, regexp_extract(id, '^([0-9][-0-9.,]*)((?:\([A-Za-z0-9]+\))*)$', 1) AS num, regexp_extract(id, '^([0-9][-0-9.,]*)((?:\([A-Za-z0-9]+\))*)$', 2) AS suf,
+        CASE WHEN kind IN ('section', 'article', 'sec', 'art') THEN '条' WHEN kind IN ('clause', 'cl') THEN '款' WHEN kind IN ('paragraph', 'para') THEN '段' END AS label FROM k)
+      SELECT sent_id, CASE WHEN zh THEN CASE WHEN mark IN ('条', '节', '章', '篇') THEN 'Section ' || n || more WHEN mark = '款' THEN 'Clause ' || n || more WHEN mark = '段' THEN 'Paragraph ' || n || more WHEN sched <> '' THEN 'Schedule ' || sched END
+        WHEN kind IN ('schedule', 'sch') THEN '附表' || id WHEN label IS NOT NULL THEN CASE WHEN num <> '' THEN '第' || num || label || suf ELSE '第' || id || label END END AS reference FROM p
+    """,
     "q_docx_entries": f"""
       SELECT file_id::VARCHAR AS doc_id, i::INT AS entry_idx, CASE i WHEN 0 THEN '[Content_Types].xml' ELSE 'word/document.xml' END AS name, 8 AS compression, 2024 AS year,
         8 AS minute, 10 AS second, true AS is_xml

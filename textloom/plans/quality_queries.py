@@ -259,20 +259,45 @@ _RULES = {
     "unjustified_condition": rf"zh AND regexp_matches(o, '(?:如果|若|如){_WS}*适用') AND NOT {_word('i', chr(92).join(['if|unless|provided', 's+that|in', 's+the', 's+event|to', 's+the', 's+extent|subject', 's+to']), '(?i)')}",
     "repeated_sentence": f"(zh OR en) AND ni >= 80 AND {_REPEATED}",
 }
-_ISSUES = f"""
+def _issues(sides: str) -> str:
+    return f"""
   SELECT rec_id, side, s, para_style, tu_kind, CASE WHEN coalesce(t, '') = '' THEN ['empty_output'] ELSE list_sort(list_filter([
     {", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in _RULES.items())}], lambda x: x IS NOT NULL)) END AS issues
   FROM (
     SELECT *, tl LIKE 'zh%' AS zh, tl LIKE 'en%' AS en, {_n("i", "[^A-Za-z]")} AS il, {_n("i", r"[^\x{4e00}-\x{9fff}]")} AS ic, {_n("o", "[^A-Za-z]")} AS ol,
       {_n("o", r"[^\x{4e00}-\x{9fff}]")} AS oc, length({_line("i")}) AS ni, length({_line("o")}) AS no, len(regexp_extract_all(o, '[A-Za-z]{{2,}}')) AS w
-    FROM (SELECT *, {_plain("s")} AS i, {_plain(_unfrozen("coalesce(t, '')", "nt_map"))} AS o FROM ({_SIDES})))
+    FROM (SELECT *, {_plain("s")} AS i, {_plain(_unfrozen("coalesce(t, '')", "nt_map"))} AS o FROM ({sides})))
 """
+
+
+_ISSUES = _issues(_SIDES)
 _NUMBERS = r"\p{Nd}+(?:[.,]\p{Nd}+)*(?:-\p{Nd}+(?:[.,]\p{Nd}+)*)?"
 _CONTROLS = "regexp_extract_all({0}, '<<MT_(?:TAB|BR|NBH|SHY)>>')"
 _RISK = (
     "shall|must|may not|may|unless|provided that|in the event|notwithstanding|subject to|void|invalid|terminate|termination|breach|indemnif|"
     "representation|warrant|condition|governing law|jurisdiction|assignment|transfer|consent|notice|default"
 ).replace(" ", r"\s+")
+def _protocol(sides: str) -> str:
+    return rf"""
+      WITH u AS ({sides}),
+      x AS (SELECT rec_id, side, s, f, nt_map, coalesce(t, '') AS t,
+        list_filter(coalesce(map_entries(nt_map), []), lambda e: NOT regexp_full_match(e.value, '{_NUMBERS}')) AS named,
+        list_filter(coalesce(map_entries(nt_map), []), lambda e: regexp_full_match(e.value, '{_NUMBERS}')) AS numeric FROM u),
+      y AS (SELECT *, list_transform(named, lambda e: e.key) AS want,
+        list_filter(regexp_extract_all(t, '<<MT_NT:[0-9]{{4}}>>'), lambda x: NOT list_contains(list_transform(numeric, lambda e: e.key), x)) AS have FROM x)
+      SELECT rec_id, side, CASE WHEN contains(t, chr(10)) OR contains(t, chr(13)) THEN 'raw_newline' WHEN contains(t, chr(9)) THEN 'raw_tab'
+        WHEN {_CONTROLS.format("f")} <> {_CONTROLS.format("t")} THEN 'control_tokens_mismatch'
+        WHEN list_sort(list_distinct(want)) <> list_sort(list_distinct(have)) THEN 'nt_mismatch'
+        WHEN len(have) <> len(list_distinct(have)) THEN 'nt_count'
+        WHEN regexp_matches(t, '<<MT_(?:SEG|END|SLOT):[0-9]{{6}}>>') THEN 'unexpected_sentinel'
+        WHEN list_sort(regexp_extract_all({_plain("s")}, '{_NUMBERS}')) <> list_sort(regexp_extract_all({_plain(_unfrozen("t", "nt_map"))}, '{_NUMBERS}')) THEN 'number_mismatch' END AS error
+      FROM y
+    """
+
+
+#: Every record once, with its final text for a translation.
+_FINAL = _SIDES.replace("CASE side WHEN 'a' THEN translation_a ELSE translation_b END AS t", "coalesce(nullif(final_translation, ''), nullif(translation_a, ''), nullif(frozen_surface, '')) AS t").replace(", ('b')", "")
+_DECIDED = TEXT_ORACLE["q_translate_decision"].replace("SELECT source_lang, CASE", "SELECT rec_id, CASE").replace(", count(*) AS units", "").replace("GROUP BY 1, 2", "")
 _FLAGS = TEXT_ORACLE["q_quality_flags"]
 
 
@@ -341,20 +366,10 @@ ORACLE: dict[str, str] = {
     "q_quality_issues": f"""
       SELECT rec_id, side, array_to_string(issues, ',') AS issues, array_to_string(issues, ',') AS hard FROM ({_ISSUES})
     """,
-    "q_protocol": rf"""
-      WITH u AS ({_SIDES}),
-      x AS (SELECT rec_id, side, s, f, nt_map, coalesce(t, '') AS t,
-        list_filter(coalesce(map_entries(nt_map), []), lambda e: NOT regexp_full_match(e.value, '{_NUMBERS}')) AS named,
-        list_filter(coalesce(map_entries(nt_map), []), lambda e: regexp_full_match(e.value, '{_NUMBERS}')) AS numeric FROM u),
-      y AS (SELECT *, list_transform(named, lambda e: e.key) AS want,
-        list_filter(regexp_extract_all(t, '<<MT_NT:[0-9]{{4}}>>'), lambda x: NOT list_contains(list_transform(numeric, lambda e: e.key), x)) AS have FROM x)
-      SELECT rec_id, side, CASE WHEN contains(t, chr(10)) OR contains(t, chr(13)) THEN 'raw_newline' WHEN contains(t, chr(9)) THEN 'raw_tab'
-        WHEN {_CONTROLS.format("f")} <> {_CONTROLS.format("t")} THEN 'control_tokens_mismatch'
-        WHEN list_sort(list_distinct(want)) <> list_sort(list_distinct(have)) THEN 'nt_mismatch'
-        WHEN len(have) <> len(list_distinct(have)) THEN 'nt_count'
-        WHEN regexp_matches(t, '<<MT_(?:SEG|END|SLOT):[0-9]{{6}}>>') THEN 'unexpected_sentinel'
-        WHEN list_sort(regexp_extract_all({_plain("s")}, '{_NUMBERS}')) <> list_sort(regexp_extract_all({_plain(_unfrozen("t", "nt_map"))}, '{_NUMBERS}')) THEN 'number_mismatch' END AS error
-      FROM y
+    "q_protocol": _protocol(_SIDES),
+    "q_hard_failures": f"""
+      SELECT rec_id, error AS protocol_error, array_to_string(list_sort(CASE WHEN error IS NULL THEN issues ELSE list_append(issues, 'protocol_error') END), ',') AS issues
+      FROM ({_issues(_FINAL)}) JOIN ({_protocol(_FINAL)}) USING (rec_id) JOIN ({_DECIDED}) USING (rec_id) WHERE reason = 'ok' AND (error IS NOT NULL OR len(issues) > 0)
     """,
     "q_review_needed": f"""
       SELECT rec_id, side, len(issues) > 0 OR length({_plain("s")}) >= 400 OR coalesce(lower(para_style) LIKE 'heading%', false) OR coalesce(tu_kind = 'table', false)
