@@ -68,7 +68,7 @@ def q_number_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def q_quality_issues(spark: SparkSession, d: str) -> DataFrame:
     rows = both_sides(spark, d, "source_surface", "nt_map")
-    rows = issues.quality_issues(spread(rows), "source_surface", "nt_map", "translated", "source_lang", "target_lang")
+    rows = issues.quality_issues(rows, "source_surface", "nt_map", "translated", "source_lang", "target_lang")
     return rows.select("rec_id", "side", F.array_join("issues", ",").alias("issues"), F.array_join(issues.hard_issues(F.col("issues")), ",").alias("hard"))
 
 
@@ -89,7 +89,7 @@ def q_hard_failures(spark: SparkSession, d: str) -> DataFrame:
 
 def q_review_needed(spark: SparkSession, d: str) -> DataFrame:
     rows = both_sides(spark, d, "source_surface", "nt_map", "para_style", "tu_kind")
-    rows = issues.quality_issues(spread(rows), "source_surface", "nt_map", "translated", "source_lang", "target_lang")
+    rows = issues.quality_issues(rows, "source_surface", "nt_map", "translated", "source_lang", "target_lang")
     heading = F.lower("para_style").startswith("heading")
     wanted = issues.needs_review(F.col("issues"), F.lit(None).cast("boolean"), F.col("source_surface"), heading, F.lit(None).cast("int"), F.col("tu_kind") == "table", 400)
     return rows.select("rec_id", "side", wanted.alias("review"))
@@ -97,13 +97,13 @@ def q_review_needed(spark: SparkSession, d: str) -> DataFrame:
 
 def q_retranslate(spark: SparkSession, d: str) -> DataFrame:
     rows = with_files(spark, d, "source_surface", "translation_a").where("source_surface is not null")
-    rows = validate.quality_flags(spread(rows), "source_surface", None, "translation_a", "source_lang", "target_lang")
+    rows = validate.quality_flags(rows, "source_surface", None, "translation_a", "source_lang", "target_lang")
     return rows.select("rec_id", issues.wants_retranslation(F.col("hard_flags")).alias("again"))
 
 
 def q_rendered_quality(spark: SparkSession, d: str) -> DataFrame:
     rows = with_files(spark, d, "source_surface", "translation_a").where("source_surface is not null")
-    rows = validate.quality_flags(spread(rows), "source_surface", None, "translation_a", "source_lang", "target_lang")
+    rows = validate.quality_flags(rows, "source_surface", None, "translation_a", "source_lang", "target_lang")
     c = {k: F.col(k) for k in rows.columns}
     block = issues.rendered_quality(c["src_chars"], c["tgt_chars"], c["len_ratio"], c["han_ratio"], c["latin_ratio"], c["bracket_notes"], c["hard_flags"], c["soft_flags"])
     return rows.select("rec_id", block.alias("report"))
@@ -157,7 +157,7 @@ def q_allowed_sentinels(spark: SparkSession, d: str) -> DataFrame:
 
 def q_normalized_candidate(spark: SparkSession, d: str) -> DataFrame:
     rows = both_sides(spark, d, "source_surface", "frozen_surface", "nt_map")
-    rows = normalize.normalized_candidate(spread(rows), "source_surface", "frozen_surface", "nt_map", "translated", "target_lang")
+    rows = normalize.normalized_candidate(rows, "source_surface", "frozen_surface", "nt_map", "translated", "target_lang")
     return rows.select("rec_id", "side", "candidate", F.array_join("space_flags", ",").alias("space_flags"))
 
 

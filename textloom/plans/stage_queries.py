@@ -75,7 +75,7 @@ def q_token_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def q_gaps_translated(spark: SparkSession, d: str) -> DataFrame:
     rows = with_files(spark, d, "frozen_surface")
-    done = stages.gaps_translated(spread(rows), "frozen_surface", "source_lang", "target_lang", "t", vowels_model, "vowels")
+    done = stages.gaps_translated(rows, "frozen_surface", "source_lang", "target_lang", "t", vowels_model, "vowels")
     return done.select("rec_id", F.md5("t").alias("text"))
 
 
@@ -89,7 +89,7 @@ def q_segments_translated(spark: SparkSession, d: str) -> DataFrame:
 
 def q_repaired(spark: SparkSession, d: str) -> DataFrame:
     rows = with_files(spark, d, "frozen_surface", "nt_map", "translation_a")
-    done = stages.repaired(spread(rows), "frozen_surface", "nt_map", "translation_a", "source_lang", "target_lang", "text", vowels_model, "vowels")
+    done = stages.repaired(rows, "frozen_surface", "nt_map", "translation_a", "source_lang", "target_lang", "text", vowels_model, "vowels")
     return done.select("rec_id", "text_from", "text_error", F.md5("text").alias("text"))
 
 

@@ -53,8 +53,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy stages at least one partition per core. A scan that already has as many splits as the
-    cluster has cores is left alone, so large inputs are not shuffled for this."""
+    """Give CPU-heavy stages over a scan at least one partition per core. A scan that already has as many splits as
+    the cluster has cores is left alone, so large inputs are not shuffled for this. Not for what was shuffled: asking
+    such a plan for its partitions runs it, and adaptive execution keeps enough of them by itself."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
