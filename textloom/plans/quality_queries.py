@@ -295,6 +295,20 @@ def _protocol(sides: str) -> str:
     """
 
 
+def _times(text: str, piece: str) -> str:
+    return f"((length({text}) - length(replace({text}, {piece}, ''))) // length({piece}))"
+
+
+def _first(text: str, needle: str, by: str, n: str) -> str:
+    """``text`` with the first ``n`` places of ``needle`` replaced."""
+    parts = f"string_split({text}, {needle})"
+    joined = lambda own, mark: f"list_reduce({own}, lambda p, q: p || {mark} || q)"
+    return f"{joined(f'{parts}[1:{n} + 1]', by)} || CASE WHEN len({parts}) > {n} + 1 THEN {needle} || {joined(f'{parts}[{n} + 2:]', needle)} ELSE '' END"
+
+
+_TOKEN, _ORIGINAL = "split_part(x, chr(1), 1)", "split_part(x, chr(1), 2)"
+_WANTED, _HELD = _times("f", _TOKEN), _times("a", _TOKEN)
+
 #: Every record once, with its final text for a translation.
 _FINAL = _SIDES.replace("CASE side WHEN 'a' THEN translation_a ELSE translation_b END AS t", "coalesce(nullif(final_translation, ''), nullif(translation_a, ''), nullif(frozen_surface, '')) AS t").replace(", ('b')", "")
 _DECIDED = TEXT_ORACLE["q_translate_decision"].replace("SELECT source_lang, CASE", "SELECT rec_id, CASE").replace(", count(*) AS units", "").replace("GROUP BY 1, 2", "")
@@ -417,6 +431,13 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, md5(array_to_string(list_transform(l, lambda x, i: x || CASE WHEN i > len(b) THEN '' WHEN list_contains(t, i) THEN '<<MT_TAB>>'
         WHEN list_contains(n, i) THEN '<<MT_BR>>' ELSE ' ' END), '')) AS text FROM k
     """.replace("\\\\", "\\"),
+    "q_balanced_tokens": f"""
+      WITH r AS (SELECT DISTINCT ON (rec_id) rec_id, coalesce(frozen_surface, '') AS f, coalesce(source_surface, '') AS s, coalesce(list_sort(map_entries(nt_map)), []) AS es FROM paragraph_memory),
+      b AS (SELECT rec_id, list_reduce(list_prepend(s, list_transform(es, lambda e: e.key || chr(1) || e.value)), lambda a, x:
+          CASE WHEN {_WANTED} > 0 AND {_HELD} < {_WANTED} AND {_ORIGINAL} <> '' THEN {_first("a", _ORIGINAL, _TOKEN, f"({_WANTED} - {_HELD})")}
+            WHEN {_WANTED} > 0 AND {_HELD} > {_WANTED} THEN {_first("a", _TOKEN, _ORIGINAL, f"({_HELD} - {_WANTED})")} ELSE a END) AS t FROM r)
+      SELECT rec_id, md5(t) AS text, array_to_string(list_sort(regexp_extract_all(t, '{_SENTINEL}')), ' ') AS tokens FROM b
+    """,
     "q_allowed_sentinels": rf"""
       SELECT rec_id, md5(t) AS text, len(regexp_extract_all(t, '{_SENTINEL}'))::INT AS tokens FROM (
         SELECT DISTINCT rec_id, regexp_replace(coalesce(frozen_surface, ''), '<<MT_(?:TAB|BR|NBH|SHY|NT:(?:[1-9][0-9]{{3}}|0[1-9][0-9]{{2}}|00[1-9][0-9]|000[02456789])|(?:SEG|END|SLOT):[0-9]{{6}})>>', '', 'g') AS t FROM paragraph_memory)
