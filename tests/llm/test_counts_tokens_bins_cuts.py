@@ -145,6 +145,10 @@ def test_cut_texts_are_found(spark):
     assert judged.count() == len(rows)
     limits = {(r["source"], r["measure"], r["length"]) for r in p10.length_spikes(df.selectExpr("source", "length(text) n_chars", "octet_length(text) n_bytes")).collect()}
     assert ("a", "chars", 150) in limits
+    how = {r["doc_id"]: r["how"] for r in judged.where("how is not null").collect()}
+    assert set(how) == found and sum(how[i] == "limit" for i in found & truth) >= 0.9 * len(truth)
+    kinds = {r["source"]: (r["cut_at_limit"], r["cut_in_transfer"], r["cut"]) for r in p10.truncation_rates(df).collect()}
+    assert all(a + b == c for a, b, c in kinds.values())
     rates = {r["source"]: r["cut"] for r in p10.truncation_rates(df).collect()}
     assert set(rates) == {"a", "b", None} and sum(rates.values()) == len([1 for r in judged.where("cut").collect()])
     assert p10.judge_endings(df.limit(0)).count() == 0

@@ -1,9 +1,9 @@
 """Problem 10: texts cut off by a field limit or mid-transfer, and how often each source cuts.
 
-Method: length histograms per source, in characters and in bytes, are tested for spikes; values at a spike that do
-not end like a whole text are cut by the limit. Limits alone miss texts cut mid-transfer and would blame whole texts
-that happen to have a limit's length, so how a text ends is judged everywhere, by what the corpus itself shows: a
-line that is followed by another line was never cut, so its form is a whole line's form.
+Method: length histograms per source, in characters and in bytes, are tested for spikes. Two tests follow. Values at a
+spike without terminal punctuation are cut by the limit, unless their last line is one that the corpus shows to be
+whole. Limits miss texts cut mid-transfer, so values of other lengths are tested too, by their ending alone. What is
+whole the corpus itself shows: a line that is followed by another line was never cut, so its form is a whole line's.
 """
 
 from __future__ import annotations
@@ -191,7 +191,8 @@ def length_spikes(lengths: DataFrame) -> DataFrame:
 
 
 def judge_endings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, cut, at_limit): every row, whether its text was cut, and whether its length is at a spike.
+    """(doc_id, source, cut, at_limit, how): every row, whether its text was cut, whether its length is at a spike, and
+    how it was cut: ``limit``, ``transfer`` or null.
 
     Null, empty and blank texts are not cut. Every row is judged by itself, repeated ids and texts too; a null
     source is a source of its own; an empty table gives no rows; other columns are not read. What the corpus shows
@@ -236,8 +237,9 @@ def judge_endings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .distinct()
     )
     judged = docs.join(vouched.withColumn("whole", F.lit(True)), "row", "left")
-    cut = (F.col("ends") == "open") | (F.col("ends").isin("bare", "doubt") & F.col("whole").isNull())
-    return judged.select("doc_id", "source", cut.alias("cut"), "at_limit")
+    terminal, whole = F.col("ends").isin("full", "none"), (F.col("ends") != "open") & F.col("whole").isNotNull()
+    how = F.when(terminal | whole, None).when(F.col("at_limit"), "limit").otherwise("transfer")
+    return judged.select("doc_id", "source", how.isNotNull().alias("cut"), "at_limit", how.alias("how"))
 
 
 def _at_spike(docs: DataFrame, spikes: DataFrame) -> DataFrame:
@@ -255,14 +257,16 @@ def _at_spike(docs: DataFrame, spikes: DataFrame) -> DataFrame:
 
 
 def truncation_rates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(source, documents, cut, cut_at_limit, share): how often each source cuts; rules as in ``judge_endings``."""
+    """(source, documents, cut, cut_at_limit, cut_in_transfer, share): how often each source cuts, and how; rules as
+    in ``judge_endings``."""
     return (
         judge_endings(df, id_col, text_col, source_col)
         .groupBy("source")
         .agg(
             F.count("*").alias("documents"),
             F.count_if("cut").alias("cut"),
-            F.count_if(F.col("cut") & F.col("at_limit")).alias("cut_at_limit"),
+            F.count_if(F.col("how") == "limit").alias("cut_at_limit"),
+            F.count_if(F.col("how") == "transfer").alias("cut_in_transfer"),
         )
         .withColumn("share", F.round(F.col("cut") / F.col("documents"), 6))
     )
