@@ -35,11 +35,9 @@ FREEZE_ALTERNATIVES = (
 )
 FREEZE = "(?U)" + SENTINEL + "|" + "|".join(FREEZE_ALTERNATIVES)
 
-LEGAL_ID = r"(?U)\b(\d+(?:[.,]\d+)*(?:-\d+(?:[.,]\d+)*)?(?:\([A-Za-z0-9]+\))*|[IVXLCDM]{1,8})\b"
-LEGAL_REF = (
-    r"(?iU)\b(?:section|article|clause|paragraph|schedule|sec|art|cl|para|sch)\.?\s+"
-    r"(\d+(?:[.,]\d+)*(?:-\d+(?:[.,]\d+)*)?(?:\([A-Za-z0-9]+\))*|[IVXLCDM]{1,8})\b"
-)
+ID = r"\d+(?:[.,]\d+)*(?:-\d+(?:[.,]\d+)*)?(?:\([A-Za-z0-9]+\))*|[IVXLCDM]{1,8}"
+LEGAL_ID = rf"(?U)\b({ID})\b"
+LEGAL_REF = rf"(?iU)\b(?:section|article|clause|paragraph|schedule|sec|art|cl|para|sch)\.?\s+({ID})\b"
 HAN = r"[㐀-䶿一-鿿豈-﫿\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2CEB0}-\x{2EBEF}]"
 KANA = r"[぀-ゟ゠-ヿㇰ-ㇿ]"
 HANGUL = r"[가-힯ᄀ-ᇿ㄰-㆏]"

@@ -123,6 +123,7 @@ def first_json_object(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+# Fixed values below: the order of the checks and the texts of the errors.
 def apply_patches(draft: str, patches: list[dict]) -> tuple[str | None, str | None]:
     """(text, error): sentence patches applied in order to a draft; the first that does not fit stops with its error.
 
