@@ -272,8 +272,8 @@ _VALIDATED = rf"""
 """
 
 #: Letters beyond ASCII. Between one and an ASCII letter or digit is no word boundary; an underscore tells RE2 so.
-_BEYOND = (
-    r"[\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2c1}\x{300}-\x{1fff}\x{3005}-\x{3007}\x{3041}-\x{3096}\x{309d}-\x{309f}\x{30a1}-\x{30fa}"
+_BEYOND = (  # the two joiners are word characters too
+    r"[\x{200c}\x{200d}\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2c1}\x{300}-\x{1fff}\x{3005}-\x{3007}\x{3041}-\x{3096}\x{309d}-\x{309f}\x{30a1}-\x{30fa}"
     r"\x{30fc}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}\x{20000}-\x{2ebef}]"
 )
 _NARROW = "translate(t, '０１２３４５６７８９', '0123456789')"
