@@ -1,7 +1,8 @@
 """Problem 5: which segments of a record's source are translated by which segments of its translations.
 
-Method: translation tables are learned on a bounded sample of roughly parallel segments. Every segment becomes a bag
-of weighted units; the tables translate a unit into target units. Within a record an inverted index from target
+Method: translation tables are learned on all roughly parallel segments: those of the same place in a source and a
+translation of as many segments. Every segment becomes a bag of weighted units; the tables translate a unit into target
+units. Within a record an inverted index from target
 units to segments retrieves matches in both directions; pairs that are each other's best are kept, and from these
 matches grow to neighbouring segments that the same partner also covers, which are merges. Reordering costs nothing,
 since retrieval looks at no positions; segments that nothing covers stay alone.
@@ -9,18 +10,27 @@ since retrieval looks at no positions; segments that nothing covers stay alone.
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import re
-from collections import Counter, defaultdict
+import tempfile
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parallel segments the tables are fitted on, at most, chosen by the hash of their record.
-SAMPLE_PAIRS = 5000
+from textloom.session import cut_lineage
+
+#: Rounds of expectation-maximization.
+ROUNDS = 5
+#: Probabilities that a task holds at once (of some target units, for every source unit), cells of pairs that it takes
+#: at once, and bytes of cells it keeps in memory; those beyond go to a file of the task.
+DENSE, SLICE, IN_MEMORY = 8_000_000, 2_000_000, 64 << 20
 #: Translations kept for a unit, and the least probability of one.
 KEEP, LEAST_P = 8, 0.03
 #: Joint score that a pair of mutual best needs. Coverage by one partner that a segment left over needs: next to a
@@ -148,52 +158,167 @@ class Tables:
     ready: dict[str, tuple[float, list[tuple[str, float]], None]] = field(default_factory=dict)
 
 
-def _ibm1(pairs: list[tuple[list[str], list[str]]], rounds: int = 5) -> dict[str, list[tuple[str, float]]]:
-    """P(target unit | source unit) by IBM model 1 with an empty word, over vectorised cells."""
-    src_id: dict[str, int] = {"": 0}
-    tgt_id: dict[str, int] = {}
-    src_cells, tgt_cells, group, groups = [], [], [], 0
-    for s, t in pairs:
-        a = np.fromiter((src_id.setdefault(u, len(src_id)) for u in ["", *s]), np.int32)
-        b = np.fromiter((tgt_id.setdefault(u, len(tgt_id)) for u in t), np.int32, len(t))
-        src_cells.append(np.tile(a, len(b)))
-        tgt_cells.append(np.repeat(b, len(a)))
-        group.append(np.repeat(np.arange(groups, groups + len(b), dtype=np.int32), len(a)))
-        groups += len(b)
-    if not src_cells or not tgt_id:
-        return {}
-    key = np.concatenate(src_cells).astype(np.int64) * len(tgt_id) + np.concatenate(tgt_cells)
-    names, cell = np.unique(key, return_inverse=True)
-    cell = cell.astype(np.int32)
-    group_of = np.concatenate(group)
-    src_of = (names // len(tgt_id)).astype(np.int32)
-    p = np.ones(len(names))
-    for _ in range(rounds):
-        w = p[cell]
-        w /= np.bincount(group_of, w, groups)[group_of]
-        counts = np.bincount(cell, w, len(names))
-        p = counts / np.maximum(np.bincount(src_of, counts, len(src_id)), 1e-12)[src_of]
-    seen = np.bincount(src_of, counts, len(src_id))
-    src_names, tgt_names = list(src_id), list(tgt_id)
-    out: dict[str, list[tuple[str, float]]] = defaultdict(list)
-    for i in np.flatnonzero((p >= LEAST_P) & (seen[src_of] >= 1.0) & (src_of > 0)):
-        out[src_names[src_of[i]]].append((tgt_names[names[i] % len(tgt_id)], float(p[i])))
-    return {u: sorted(ts, key=lambda x: -x[1])[:KEEP] for u, ts in out.items()}
-
-
-def learn_tables(pairs: list[tuple[str, str]]) -> Tables:
-    """Tables from parallel segments (text, text), both directions."""
-    bags = [(table_units(units(a)), table_units(units(b))) for a, b in pairs]
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The table units of roughly parallel segments, each side's set apart by spaces, which no unit holds."""
+    for some in itertools.batched(_parallel(batches), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(side, pa.string()) for side in zip(*some)], names=["one", "other"])
+
+
+def _parallel(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    for record in _records(batches):
+        source = record.get("source", [])
+        even = [record[side] for side in ("a", "b") if side in record and len(record[side]) == len(source)]
+        bags = [" ".join(table_units(units(row[4]))) for row in source] if even else []
+        for rows in even:
+            for bag, own, row in zip(bags, source, rows):
+                if own[4] and row[4]:
+                    yield bag, " ".join(table_units(units(row[4])))
+
+
+def _chunk(sources: list[np.ndarray], targets: list[np.ndarray], blocks: int) -> Iterator[tuple[int, bytes]]:
+    """The pairs by block of target units: the sources that have a target there, and for each place of a target its
+    source and its number within the block."""
+    pair = np.repeat(np.arange(len(targets)), [len(t) for t in targets])
+    target = np.concatenate(targets)
+    for block in range(blocks):
+        here = np.flatnonzero(target % blocks == block)
+        if len(here):
+            here = here[np.argsort(target[here], kind="stable")]
+            kept, own = np.unique(pair[here], return_inverse=True)
+            some = [sources[k] for k in kept]
+            parts = (np.concatenate(some), np.array([len(s) for s in some]), own, target[here] // blocks)
+            yield block, zlib.compress(pickle.dumps([x.astype(np.min_scalar_type(x.max())) for x in parts]), 1)
+
+
+def _cells(payload: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells (target of the block, source unit) of a chunk, and how many of them each place of a target has, by slices
+    of whole places."""
+    flat, lengths, own, target = (x.astype(np.int64) for x in pickle.loads(zlib.decompress(payload)))
+    begins = np.cumsum(lengths) - lengths
+    own_lengths = lengths[own]
+    slices = np.cumsum(own_lengths) // SLICE
+    for at in np.split(np.arange(len(own)), np.flatnonzero(np.diff(slices)) + 1):
+        n = own_lengths[at]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cells = np.repeat(target[at] * width, n) + flat[np.repeat(begins[own[at]], n) + inside]
+        yield cells.astype(np.int32) if cells[-1] < 1 << 30 else cells, n
+
+
+def _expected(payloads: Iterator[bytes], size: int, width: int, totals: list[np.ndarray]) -> np.ndarray:
+    """Expected counts (target of the block, source unit) after as many rounds as there are totals of rounds, and one.
+    A target unit's share among the source units of its segment hangs on no other target unit; only the sums over all
+    target units, which are the totals, come from elsewhere."""
+    with tempfile.SpooledTemporaryFile(IN_MEMORY) as kept:
+        slices = 0
+        for payload in payloads:
+            for part in _cells(payload, width):
+                pickle.dump(part, kept)
+                slices += 1
+        p, counts = np.ones(size * width), np.zeros(size * width)
+        for total in [None, *totals]:
+            if total is not None:
+                np.divide(counts.reshape(size, width), np.maximum(total, 1e-12), out=p.reshape(size, width))
+                counts.fill(0.0)
+            kept.seek(0)
+            for _ in range(slices):
+                cells, n = pickle.load(kept)
+                cells = cells.astype(np.intp)
+                w = p[cells]
+                w /= np.repeat(np.add.reduceat(w, np.cumsum(n) - n), n)
+                np.add.at(counts, cells, w)
+    return counts.reshape(size, width)
+
+
+def _translations(bags: DataFrame, names: list[str]) -> Iterator[dict[str, list[tuple[str, float]]]]:
+    """P(target unit | source unit) by IBM model 1 with an empty word over all pairs, for either direction.
+
+    Each task holds the probabilities of a block of target units, so that no table of all cells is ever in one place;
+    between rounds only the totals of the source units go by the driver. A round begins anew from the totals of those
+    before, so nothing but the pairs is stored.
+    """
+    spark = bags.sparkSession
+    sc = spark.sparkContext
+    width = len(names) + 1  # 0 is the empty word
+    blocks = min(len(names), max(sc.defaultParallelism, -(-width * width // DENSE)))
+    tasks = min(2 * blocks, max(2 * sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ids = sc.broadcast({u: i for i, u in enumerate(names, 1)})
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = ids.value
+        for batch in filter(len, batches):
+            sides = [[np.array(sorted(number[u] for u in bag.split()), np.int64) for bag in c.to_pylist()] for c in batch.columns]
+            for way, (sources, targets) in enumerate((sides, sides[::-1])):
+                with_empty = [np.concatenate(([0], s)) for s in sources]
+                parts = [(way * blocks + block, payload) for block, payload in _chunk(with_empty, targets, blocks)]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*parts), (pa.int32(), pa.binary()))], names=["part", "payload"])
+
+    def rounds(totals: list[np.ndarray], last: bool) -> DataFrame:
+        """(way, source, target, n): counts of the cells that may be kept in the last round, and with target -1 the
+        totals of the source units."""
+        shared = sc.broadcast(totals)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = ((c, b) for batch in batches for c, b in zip(batch.column(0).to_pylist(), batch.column(1)))
+            for part, own in itertools.groupby(rows, key=lambda row: row[0]):
+                way, block = divmod(part, blocks)
+                counts = _expected((b.as_py() for _, b in own), width // blocks + 1, width, [t[way] for t in shared.value])
+                sums = counts.sum(axis=0)
+                source = np.flatnonzero(sums)
+                target, n = np.full(len(source), -1), sums[source]
+                if last:  # a total is no less than its part of this block, nor than 1 where it counts
+                    t, s = np.nonzero(counts >= LEAST_P * 0.999 * np.maximum(sums, 1.0))
+                    source, target, n = np.concatenate((source, s)), np.concatenate((target, t * blocks + block)), np.concatenate((n, counts[t, s]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(source), way, np.int32)), pa.array(source, pa.int64()), pa.array(target, pa.int64()), pa.array(n, pa.float64())],
+                    names=["way", "source", "target", "n"],
+                )
+
+        return placed.mapInArrow(run, "way int, source bigint, target bigint, n double")
+
+    def summed(found: DataFrame) -> DataFrame:
+        # Decimals add up to the same in any order.
+        return found.where("target < 0").groupBy("way", "source").agg(F.sum(F.col("n").cast("decimal(30,12)")).cast("double").alias("total"))
+
+    # Payloads are sorted by their hash, so that sums come out alike whatever order the blocks arrive in.
+    placed = cut_lineage(
+        bags.mapInArrow(chunks, "part int, payload binary").repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", F.xxhash64("payload"))
+    )
+    totals: list[np.ndarray] = []
+    for _ in range(ROUNDS - 1):
+        total = np.zeros((2, width))
+        for way, source, n in summed(rounds(totals, False)).collect():  # a row a unit and direction
+            total[way, source] = n
+        totals.append(total)
+    found = cut_lineage(rounds(totals, True))
+    p = F.round(F.col("n") / F.col("total"), 9).alias("p")
+    likely = found.where("target > 0 and source > 0").join(summed(found).where("total >= 1"), ["way", "source"]).select("way", "source", "target", p)
+    order = Window.partitionBy("way", "source").orderBy(F.desc("p"), "target")
+    kept = likely.where(F.col("p") >= LEAST_P).withColumn("k", F.row_number().over(order)).where(F.col("k") <= KEEP)
+    out: tuple[dict, dict] = ({}, {})
+    for way, source, target, p, _ in kept.orderBy("way", "source", "k").collect():  # at most KEEP rows a unit and direction
+        out[way].setdefault(names[source - 1], []).append((names[target - 1], p))
+    yield from out
+
+
+def learn_tables(bags: DataFrame) -> Tables:
+    """Tables from the bags (one, other) of parallel segments, both directions. The tables hold every unit of the
+    pairs, so what reaches the driver and is broadcast grows with the vocabulary, not with the rows."""
+    bags = cut_lineage(bags)
+    n = max(1, bags.count())
+    unit = F.explode(F.split(F.concat_ws(" ", "one", "other"), " ")).alias("unit")
+    seen = dict(map(tuple, bags.select(unit).where("unit <> ''").groupBy("unit").count().collect()))
     tables = Tables()
-    for way in (bags, [(b, a) for a, b in bags]):
-        for u, ts in _ibm1(way).items():
+    if not seen:
+        return tables
+    # By falling number, so that the most frequent units are dealt out over the blocks.
+    for way in _translations(bags, sorted(seen, key=lambda u: (-seen[u], u))):
+        for u, ts in way.items():
             best = ts[0][1]
             known = dict(tables.forward.get(u, ()))
             for t, p in ts:
                 known[t] = max(known.get(t, 0.0), p / best)
             tables.forward[u] = sorted(known.items(), key=lambda x: -x[1])[:KEEP]
-    seen = Counter(u for a, b in bags for u in (*a, *b))
-    n = max(1, len(bags))
     # Rare units tell segments apart; those in every second segment tell nothing.
     tables.weight = {u: max(0.05, float(np.log(n / c)) / float(np.log(n + 1))) for u, c in seen.items()}
     scale = {"w": 1.0, "b": 0.6, "h": 0.3}
@@ -338,20 +463,6 @@ def _grow(links: set[tuple[int, int]], a: list[dict], b: list[dict], there: list
                         grown = True
 
 
-def sample_pairs(segments: DataFrame, limit: int = SAMPLE_PAIRS) -> list[tuple[str, str]]:
-    """At most ``limit`` roughly parallel segments: those of the same place in a source and a translation of as many
-    segments, of the records with the smallest hashes. The limit bounds what reaches the driver."""
-    sizes = segments.groupBy("rec_id", "side").agg(F.count_distinct("sent_id").alias("n"))
-    source = sizes.where("side = 'source'").select("rec_id", F.col("n").alias("n"))
-    even = sizes.where("side <> 'source'").join(source, ["rec_id", "n"]).groupBy("rec_id").agg(F.min("side").alias("other"))
-    few = F.broadcast(even.orderBy(F.xxhash64("rec_id"), "rec_id").limit(limit))  # at most ``limit`` rows of two short columns
-    chosen = segments.join(few, "rec_id").where("side in ('source', other)").dropDuplicates(["sent_id"])
-    left = chosen.where("side = 'source'").select("rec_id", "seg_idx", F.col("seg_text").alias("a"))
-    right = chosen.where("side = other").select("rec_id", "seg_idx", F.col("seg_text").alias("b"))
-    rows = left.join(right, ["rec_id", "seg_idx"]).orderBy(F.xxhash64("rec_id"), "rec_id", "seg_idx").limit(limit)
-    return [(r["a"], r["b"]) for r in rows.select("a", "b").collect() if r["a"] and r["b"]]
-
-
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[tuple]]]:
     """Rows (rec_id, side, seg_idx, sent_id, text), sorted by record, as one record at a time: side to rows, each
     sent_id once."""
@@ -370,7 +481,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[tuple
         yield own
 
 
-def align_segments(segments: DataFrame, sample: int = SAMPLE_PAIRS) -> DataFrame:
+def align_segments(segments: DataFrame) -> DataFrame:
     """(src_sent_id, tgt_sent_id): a source segment and a segment of side a or b of its record that translates all
     or a part of it.
 
@@ -382,7 +493,8 @@ def align_segments(segments: DataFrame, sample: int = SAMPLE_PAIRS) -> DataFrame
     rows = segments.where(F.col("rec_id").isNotNull() & F.col("sent_id").isNotNull() & F.col("side").isin("source", "a", "b")).select(
         "rec_id", "side", "seg_idx", "sent_id", F.coalesce("seg_text", F.lit("")).alias("seg_text")
     )
-    tables = segments.sparkSession.sparkContext.broadcast(learn_tables(sample_pairs(rows, sample)))
+    records = rows.repartition("rec_id").sortWithinPartitions("rec_id", "side", "seg_idx", "sent_id")
+    tables = segments.sparkSession.sparkContext.broadcast(learn_tables(records.mapInArrow(_pairs, "one string, other string")))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[int] = []
@@ -402,8 +514,4 @@ def align_segments(segments: DataFrame, sample: int = SAMPLE_PAIRS) -> DataFrame
                 left, right = [], []
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["src_sent_id", "tgt_sent_id"])
 
-    return (
-        rows.repartition("rec_id")
-        .sortWithinPartitions("rec_id", "side", "seg_idx", "sent_id")
-        .mapInArrow(pair, "src_sent_id bigint, tgt_sent_id bigint")
-    )
+    return records.mapInArrow(pair, "src_sent_id bigint, tgt_sent_id bigint")
