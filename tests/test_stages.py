@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import masking
+from textloom.functions import masking, validate
+from textloom.functions.language import lang_label
 from textloom.operators import chunks, retrieval, stages
 from textloom.plans.stage_queries import forgetful_model, vowels_model
 from textloom.sources import config
@@ -95,6 +96,50 @@ def test_repairs(spark):
     assert got[3] == ("pay<<MT_BR>>now", "gaps") and got[5][0] == ""
 
 
+def test_repairs_are_one_pass(spark):
+    df = spark.createDataFrame([(1, "pay in 7 days", {}, "付款天内")], "id int, f string, m map<string,string>, d string").withColumns({"sl": F.lit("en"), "tl": F.lit("zh")})
+    plans = [stages.repaired(df, "f", "m", "d", "sl", "tl", "o", repair_model, "repair", rounds=n)._jdf.queryExecution().optimizedPlan().toString() for n in (1, 6)]
+    assert [plan.count("MapInArrow") for plan in plans] == [1, 1]
+
+
+def test_rounds_ask_for_what_fails_and_no_more():
+    asked = []
+
+    def model(prompts):
+        asked.append([p.split("Source: ")[-1].split("\n")[0] if "Source: " in p else p.split("\n", 1)[1] for p in prompts])
+        return ["<<MT_NT:0009>>" if "token" in p else "no number" for p in prompts]
+
+    rows = [("pay 7", [], "付 7"), ("pay 8", [], "付"), ("<<MT_BR>>", [], "x"), (None, None, None), ("pay<<MT_TAB>>", [("<<MT_NT:0001>>", None)], "<<MT_BR>>")]
+    got = stages._repairs(6)(model, [(*row, "en", "zh", "English", "Chinese") for row in rows])
+    assert got[0] == ("付 7", None, "draft") and got[1] == ("pay 8", "digits_mismatch", "source") and got[2] == ("<<MT_BR>>", "sentinel_sequence_mismatch", "gaps")
+    assert got[3] == ("", "unexpected_mt_token", "source") and got[4] == ("no number<<MT_TAB>>", "unexpected_mt_token", "gaps")
+    tokens = ["<<MT_BR>>", "", "pay<<MT_TAB>>"]
+    assert asked == [["pay 8", *tokens]] * 2 + [tokens] * 4 + [["pay 8", "pay[[MT_HOLE]]"]]
+
+
+def test_texts_are_judged_as_columns_are(spark):
+    rng = random.Random(5)
+    bits = ["<<MT_BR>>", "<<MT_TAB>>", "<<MT_NT:0001>>", "<<MT_NT:0002>>", "<<MT_X>>", "7", "٣", "²", "Section 4.1(b)", "ſECTION 4-1", "Artıcle IV", "ARTİCLE IXİ", "第4.1条", "xiv", "（1）", "e\u0301", "_"]
+    bits += [" ", "\u3000", "\u200b", "\x1c", "\x85", "\r\n", "\x01", "\x02\x03", "a", "the ", "合同", "の", "한글", "𠀀", "(", "【", "》", "…", "…" * 8, "ΑΣ", "İ", "x" * 30, "甲" * 12, "”", "，", "\u200d", ".", "-"]
+    maps = [None, {}, {"<<MT_NT:0001>>": "4.1(b)", "<<MT_NT:0002>>": None}, {"<<MT_NT:0001>>": "7", "<<MT_NT:0002>>": "<<MT_BR>>", "MT_": "x"}, {"7": "IV \x02\x03 …"}]
+    rows = []
+    for i in range(4000):
+        s = None if i % 97 == 0 else "".join(rng.choices(bits, k=rng.choice([0, 1, 2, 4, 8, 20])))
+        t = s if s is not None and rng.random() < 0.7 else "".join(rng.choices(bits, k=rng.choice([0, 1, 4, 40])))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randint(0, len(t))
+            t = t[:k] + rng.choice([*bits, ""]) + t[k + rng.choice([0, 1, 3]) :]
+        rows.append((s, None if i % 89 == 0 else t, rng.choice(maps), rng.choice(["en", "zh", " ZH-cn ", None]), rng.choice(["en", "zh", "ja", "ko", " EN", "", None])))
+    df = spark.createDataFrame(rows, "s string, t string, m map<string,string>, sl string, tl string")
+    got = validate.quality_flags(validate.validated(df, "s", "m", "t", "e"), "s", "m", "t", "sl", "tl").collect()
+    units = [(validate.Source(r["s"], r["m"]), r["t"] or "", r) for r in got]
+    assert [(u.error(t), *u.flags(t, r["sl"], r["tl"])) for u, t, r in units] == [(r["e"], r["hard_flags"], r["soft_flags"]) for r in got]
+    assert len({r["e"] for r in got}) >= 9
+    model = lambda: lambda ps: [None if len(p) % 11 == 0 else ("```x\n%s\n```" if len(p) % 5 == 0 else '\x1c "%s" \u3000' if len(p) % 3 == 0 else "%s") % p.split("\n", 1)[-1] for p in ps]
+    gaps = stages.gaps_translated(df.where("s is not null"), "s", "sl", "tl", "o", model, "odd").select("s", lang_label(F.col("sl")), lang_label(F.col("tl")), "o").collect()
+    assert stages._gap_by_gap(model(), [tuple(r)[:3] for r in gaps]) == [r["o"] for r in gaps]
+
+
 def json_model():
     return lambda prompts: ['Sure: {"understanding":"u","terms":["a"]} ok' if "proper_nouns" in p else '{"issues":[{"tu_id":3,"issue":"x"},{"issue":"y"}]}' if "List issues" in p else "甲 7" for p in prompts]
 

@@ -150,10 +150,17 @@ def hard_issues(issues: Column) -> Column:
     return F.filter(issues, lambda x: x.isin(*P.HARD_ISSUES) | x.startswith("glossary_leakage:"))
 
 
+RETRANSLATED = ("output_identical_to_source", "contains_ellipsis_placeholder", "len_ratio_too_short_extreme", "len_ratio_too_long_extreme")
+
+
 def wants_retranslation(hard_flags: Column) -> Column:
     """Any of the flags for which a unit is translated anew."""
-    names = ("output_identical_to_source", "contains_ellipsis_placeholder", "len_ratio_too_short_extreme", "len_ratio_too_long_extreme")
-    return F.exists(hard_flags, lambda f: f.isin(*names) | f.startswith("target_script_missing_"))
+    return F.exists(hard_flags, lambda f: f.isin(*RETRANSLATED) | f.startswith("target_script_missing_"))
+
+
+def asks_again(flag: str) -> bool:
+    """Whether ``wants_retranslation`` holds for this one flag."""
+    return flag in RETRANSLATED or flag.startswith("target_script_missing_")
 
 
 def needs_review(issues: Column, forced: Column, source: Column, is_heading: Column, list_level: Column, in_table: Column, least_chars: int) -> Column:

@@ -118,6 +118,13 @@ def render(template: str, **values: Column) -> Column:
     return out
 
 
+def rendered(template: str, **values: str | None) -> str:
+    """``render`` of texts."""
+    for name, value in values.items():
+        template = template.replace("{{" + name + "}}", value or "")
+    return template
+
+
 def in_paragraph(scope_key: Column) -> Column:
     """Whether a scope is a paragraph of text, of either kind."""
     return F.coalesce(scope_key.contains("#w:p") | scope_key.contains("#a:p"), F.lit(False))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import cached_property
+
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import patterns as P
-from textloom.functions.masking import unfreeze
+from textloom.functions.masking import CUT, HIDDEN, unfreeze
 from textloom.functions.text import (
     blank,
     bracket_total,
@@ -131,3 +136,136 @@ def quality_flags(df: DataFrame, frozen: str, nt_map: str | None, translated: st
         "soft_flags": F.sort_array(F.array_compact(F.array(*soft))),
     }
     return step.withColumns(flags).select(*df.columns, "len_ratio", *flags)
+
+
+# --- one text in Python, for loops that judge a text again and again -----------------------------------------------
+
+#: What Unicode calls white space.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = re.compile(f"[{SPACES}]+")
+_ANY_MT, _NT, _SENTINEL, _CONTROL, _LATIN, _DOTS, _DIGITS = map(re.compile, (P.ANY_MT, P.NT, P.SENTINEL, P.CONTROL, "[A-Za-z]", "…+", r"\d+"))
+_HAN, _KANA, _HANGUL = (re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), p)) for p in (P.HAN, P.KANA, P.HANGUL))
+_LEGAL_ID = regex.compile(P.LEGAL_ID.removeprefix("(?U)"))
+#: Where Java passes over case, dotless and dotted i are i too.
+_LEGAL_REF = regex.compile(P.LEGAL_REF.removeprefix("(?iU)").replace("i", "[iıİ]").replace("[IV", "[IıİV").replace("a-z0", "a-zıİ0"), regex.IGNORECASE)
+_COMPOUND, _NUMERAL = re.compile(r"[.\-()]"), re.compile("[A-Za-z]")
+_WIDTHS, _SAME = str.maketrans("（），,．。－–—−", "()....----"), str.maketrans(P.SAME_FROM, P.SAME_TO)
+
+
+def is_blank(text: str) -> bool:
+    """``blank`` of one text."""
+    return not text.strip(SPACES)
+
+
+def parts_of(text: str, pattern: re.Pattern = _SENTINEL) -> list[str]:
+    """``sentinel_parts`` of one text; with the pattern of control tokens, ``control_parts``."""
+    return pattern.sub(rf"{CUT}\g<0>{CUT}", text).split(CUT)
+
+
+def _ids(text: str, pattern: regex.Pattern) -> list[str]:
+    """``_legal_ids`` of one text, in order of their own."""
+    ids = (x.translate(_WIDTHS).upper() for x in pattern.findall(text))
+    return sorted(x for x in ids if _COMPOUND.search(x) or (len(x) > 1 and _NUMERAL.search(x)))
+
+
+def _short_dots(text: str) -> bool:
+    return any(len(run) < 8 for run in _DOTS.findall(text))
+
+
+def _share(pattern: re.Pattern, text: str, chars: int) -> float:
+    return len(pattern.findall(text)) / chars if chars else 0.0
+
+
+class Source:
+    """The source of a unit, against which its translations are judged one after another. What is worked out of the
+    source is kept; ``error`` is ``validated`` and ``flags`` are those of ``quality_flags``, of one text."""
+
+    def __init__(self, frozen: str | None, nt_map: dict[str, str | None] | None):
+        self.frozen, self.names = frozen or "", nt_map or {}
+
+    def plain(self, text: str) -> str:
+        back = lambda m: t if (t := self.names.get(m.group())) is not None else m.group()
+        return _ANY_MT.sub(" ", _NT.sub(back, text.replace(HIDDEN, CUT)))
+
+    def held(self, text: str, tokens: list[str] | None = None) -> dict[str, int]:
+        """How often a text has each token of the map. No token of the usual form overlaps another, so that one pass
+        counts them all."""
+        counts = Counter(_ANY_MT.findall(text) if tokens is None else tokens)
+        return {t: n for t, n in counts.items() if t in self.names} | {t: text.count(t) for t in self.odd}
+
+    found = cached_property(lambda self: _ANY_MT.findall(self.frozen))
+    any_mt = cached_property(lambda self: {*self.found})
+    tokens = cached_property(lambda self: _SENTINEL.findall(self.frozen))
+    ordered = cached_property(lambda self: [t for t in self.tokens if not t.startswith("<<MT_NT:")])
+    in_order = cached_property(lambda self: {*self.ordered})
+    controls = cached_property(lambda self: [t for t in self.ordered if t in P.CONTROL_TOKENS])
+    odd = cached_property(lambda self: [t for t in self.names if not _NT.fullmatch(t)])
+    wanted = cached_property(lambda self: self.held(self.frozen, self.found))
+    blocks = cached_property(lambda self: parts_of(self.frozen, _CONTROL))
+    blanks = cached_property(lambda self: [*map(is_blank, self.blocks)])
+    by_block = cached_property(lambda self: [*map(self.held, self.blocks)])
+    text = cached_property(lambda self: self.plain(self.frozen))
+    digits = cached_property(lambda self: sorted(_DIGITS.findall(self.text)))
+    refs = cached_property(lambda self: _ids(self.text, _LEGAL_REF))
+    ids = cached_property(lambda self: _ids(self.text, _LEGAL_ID))
+    bare = cached_property(lambda self: _SPACE.sub("", self.text))
+    same = cached_property(lambda self: self.bare.translate(_SAME).lower())
+
+    def error(self, text: str) -> str | None:
+        if is_blank(text):
+            return "empty_output"
+        found = _ANY_MT.findall(text)
+        if not self.any_mt.issuperset(found):
+            return "unexpected_mt_token"
+        ordered = [t for t in found if t in self.in_order]
+        if self.ordered != ordered:
+            return "sentinel_sequence_mismatch"
+        if self.controls != [t for t in ordered if t in P.CONTROL_TOKENS]:
+            return "control_token_sequence_mismatch"
+        blocks = parts_of(text, _CONTROL)
+        if self.blanks != [*map(is_blank, blocks)]:
+            return "control_token_layout_mismatch"
+        if self.wanted != self.held(text, found):
+            return "nt_token_count_mismatch"
+        if len(blocks) > 1 and self.by_block != [*map(self.held, blocks)]:
+            return "nt_token_control_block_mismatch"
+        plain = self.plain(text)
+        if self.digits != sorted(_DIGITS.findall(plain)):
+            return "digits_mismatch"
+        found = _ids(plain, _LEGAL_ID) if self.refs or self.ids else []
+        if any(self.refs.count(x) != found.count(x) for x in self.refs):
+            return "legal_ref_id_mismatch"
+        return "compound_legal_id_mismatch" if self.ids and self.ids != found else None
+
+    def flags(self, text: str, source_lang: str | None, target_lang: str | None) -> tuple[list[str], list[str]]:
+        """The hard and the soft flags."""
+        plain = self.plain(text)
+        bare = _SPACE.sub("", plain)
+        source, target = (x.strip(" ").lower() if x is not None else "" for x in (source_lang, target_lang))
+        chars, long = len(bare), len(self.bare) >= 40
+        ratio = chars / len(self.bare) if self.bare else 0.0
+        differ = source != "" and target != "" and source != target and chars >= 20
+        share = lambda pattern: _share(pattern, plain, chars)
+        hard = {
+            "output_identical_to_source": self.same == bare.translate(_SAME).lower() and len(self.same.encode()) >= 24,
+            "len_ratio_too_short_extreme": long and 0 < ratio < 0.25,
+            "len_ratio_too_long_extreme": long and ratio > 4.0,
+            "contains_ellipsis_placeholder": _short_dots(plain) and not _short_dots(self.text),
+        }
+        soft = [name for name, holds in (("len_ratio_too_short", long and 0.25 <= ratio < 0.35), ("len_ratio_too_long", long and 2.8 < ratio <= 4.0)) if holds]
+        if differ and target.startswith("zh"):
+            hard["target_script_missing_han"] = share(_HAN) < 0.06 and share(_LATIN) > 0.25
+        if differ and target.startswith("en"):
+            han, missing = share(_HAN), share(_LATIN) < 0.18
+            hard["target_script_missing_latin"] = missing and han > 0.20
+            soft += ["target_contains_much_han"] if han > 0.25 and not missing else []
+        if differ and target.startswith("ja"):
+            hard["target_script_missing_japanese"] = share(_HAN) + share(_KANA) < 0.10 and share(_LATIN) > 0.25
+        if differ and target.startswith("ko"):
+            hard["target_script_missing_korean"] = share(_HANGUL) < 0.10 and share(_LATIN) > 0.25
+        for name, characters in P.BRACKETS:
+            a, b = (sum(map(t.count, characters)) for t in (self.text, plain))
+            hard[f"missing_brackets_{name}"] = a > 0 and b == 0
+            if b > 0 and a != b:
+                soft.append(f"bracket_count_mismatch_{name}" if abs(a - b) >= 4 else "bracket_count_mismatch")
+        return sorted(name for name, holds in hard.items() if holds), sorted(soft)

@@ -7,20 +7,21 @@ A stage is a DataFrame with a prompt column, the model's batch call, and checks
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from textloom.functions import patterns as P
-from textloom.functions.issues import hard_issues, quality_issues, wants_retranslation
+from textloom.functions.issues import asks_again, hard_issues, quality_issues
 from textloom.functions.language import lang_label
 from textloom.functions.normalize import bound, cleaned_output, sentinel_parts
-from textloom.functions.text import blank, must_keep_tokens, render, trimmed
-from textloom.functions.validate import quality_flags, validated
+from textloom.functions.text import blank, render, rendered, trimmed
+from textloom.functions.validate import SPACES, Source, is_blank, parts_of
 from textloom.operators.model import ModelFactory, _made, accepted, generated, stub_model, with_answers
 from textloom.operators.segments import first_json_object
 
@@ -74,13 +75,13 @@ def prompted(df: DataFrame, template: str, out: str, factory: ModelFactory = stu
     return step.withColumn(out, F.col("_told")).drop("_prompt", "_told")
 
 
-def plain_answer(answer: str) -> str:
+def plain_answer(answer: str, spaces: str | None = None) -> str:
     """``cleaned_output`` of one text."""
-    text = answer.strip()
+    text = answer.strip(spaces)
     if text.startswith("```"):
         text = text.partition("\n")[2] if "\n" in text else text
         text = text[: text.rindex("```")] if "```" in text else text
-    return text.strip().strip('"').strip()
+    return text.strip(spaces).strip('"').strip(spaces)
 
 
 def _plain_answers(model: Callable[[list[str]], list[str]], rows: list[tuple]) -> list[str | None]:
@@ -251,21 +252,74 @@ def segments_translated(chunks: DataFrame, ids: str, texts: str, out: str, facto
 # --- repair ------------------------------------------------------------------------------------------------------
 
 
-def balance(frozen: str, names: dict[str, str], text: str) -> str:
-    """``balanced_tokens`` of one text."""
+def balance(wanted: dict[str, int], names: dict[str, str], text: str) -> str:
+    """``balanced_tokens`` of one text, by how often its source has each token."""
     for token, original in sorted(names.items()):
-        wanted, held = frozen.count(token), text.count(token)
-        if original and 0 < wanted and held < wanted:
-            text = text.replace(original, token, wanted - held)
-        elif 0 < wanted < held:
-            text = text.replace(token, original or "", held - wanted)
+        due, held = wanted.get(token, 0), text.count(token) if wanted.get(token) else 0
+        if original and held < due:
+            text = text.replace(original, token, due - held)
+        elif 0 < due < held:
+            text = text.replace(token, original or "", held - due)
     return text
 
 
-def _answers_balanced(model: Callable[[list[str]], list[str]], rows: list[tuple]) -> list[str]:
-    """New texts of (prompt, text, frozen, map): the answer where there is a prompt, with its tokens balanced."""
-    answers = iter(model(asked) if (asked := [r[0] for r in rows if r[0] is not None]) else [])
-    return [balance(frozen or "", {k: v or "" for k, v in names or ()}, (text or "") if prompt is None else plain_answer(next(answers))) for prompt, text, frozen, names in rows]
+REPAIRED = StructType([StructField(name, StringType()) for name in ("text", "error", "origin")])
+
+
+def _repairs(rounds: int) -> Callable[[Callable[[list[str]], list[str]], list[tuple]], list[tuple]]:
+    """Works out text, error and origin of (frozen, map, draft, languages, their labels)."""
+
+    def work(model: Callable[[list[str]], list[str]], rows: list[tuple]) -> list[tuple]:
+        units = [Source(row[0], dict(row[1] or ())) for row in rows]
+        texts = [balance(unit.wanted, unit.names, row[2] or "") for unit, row in zip(units, rows)]
+        errors, asked, most = [None] * len(rows), [0] * len(rows), [REPAIRS] * len(rows)
+        waiting = range(len(rows))
+        for turn in range(rounds + 1):
+            prompts = {}
+            for i in waiting:
+                unit, (*_, source_lang, target_lang, _, label) = units[i], rows[i]
+                errors[i] = reason = unit.error(texts[i])
+                if reason is None:
+                    hard, soft = unit.flags(texts[i], source_lang, target_lang)
+                    if not any(map(asks_again, hard)):
+                        continue
+                    reason = " | ".join(hard + soft)
+                elif reason.startswith(TOKEN_ERRORS):
+                    most[i] = TOKEN_REPAIRS
+                if turn < rounds and asked[i] < most[i]:
+                    prompts[i] = rendered(PROMPTS["repair"], target=label, reason=reason, tokens=" ".join(unit.tokens), draft=texts[i], text=unit.frozen)
+            if not prompts:
+                break
+            answers = iter(model([*prompts.values()]))
+            for i in prompts:
+                texts[i], asked[i] = balance(units[i].wanted, units[i].names, plain_answer(next(answers))), asked[i] + 1
+            waiting = [*prompts]
+        failed = [i for i, e in enumerate(errors) if e is not None and rows[i][0] is not None]
+        forced = dict(zip(failed, _gap_by_gap(model, [(units[i].frozen, *rows[i][5:]) for i in failed])))
+        return [
+            (texts[i], None, "repair" if asked[i] else "draft") if errors[i] is None
+            else (forced[i], errors[i], "gaps") if i in forced and unit.error(forced[i]) is None
+            else (unit.frozen, errors[i], "source")
+            for i, unit in enumerate(units)
+        ]
+
+    return work
+
+
+def _gap_by_gap(model: Callable[[list[str]], list[str]], rows: list[tuple]) -> list[str]:
+    """``gaps_translated`` of (frozen, labels of the languages)."""
+    cut = [parts_of(frozen) for frozen, *_ in rows]
+    prompts = {}
+    for n, (parts, (_, source, target)) in enumerate(zip(cut, rows)):
+        for i in range(0, len(parts), 2):
+            if not is_blank(parts[i]):
+                gap = (HOLE if i else "") + parts[i] + (HOLE if i + 1 < len(parts) else "")
+                prompts[n, i] = rendered(PROMPTS["gap"], source=source, target=target, text=gap)
+    answers = iter(model([*prompts.values()]) if prompts else [])
+    for n, i in prompts:
+        if (told := next(answers)) is not None:
+            cut[n][i] = re.sub(P.ANY_MT, "", plain_answer(told, SPACES)).replace(HOLE, "").strip(SPACES)
+    return ["".join(parts) for parts in cut]
 
 
 def repaired(
@@ -275,27 +329,12 @@ def repaired(
 
     Tokens are balanced, then the text validated and its flags worked out. A unit that fails is asked for again, at
     most twice, or six times while its errors are about tokens. What still fails is translated gap by gap, and if
-    that fails too, the source stands. Units that pass are not asked for: their prompt is null.
+    that fails too, the source stands. All of it is one pass over Arrow batches, and each round
+    asks for the units of a batch that still fail, in one call.
     """
-    label = lang_label(F.col(target_lang))
-    step = df.withColumns({"_text": F.col(draft), "_most": F.lit(REPAIRS), "_done": F.lit(0), "_prompt": F.lit(None).cast("string")})
-    for turn in range(rounds + 1):
-        step = with_answers(step, ["_prompt", "_text", frozen, nt_map], "_new", StringType(), _answers_balanced, factory, name)
-        step = step.withColumns({"_text": F.col("_new"), "_done": F.col("_done") + F.col("_prompt").isNotNull().cast("int")}).drop("_new")
-        judged = quality_flags(validated(step, frozen, nt_map, "_text", "_error"), frozen, nt_map, "_text", source_lang, target_lang)
-        about_tokens = F.coalesce(F.col("_error"), F.lit("")).rlike("^(?:" + "|".join(TOKEN_ERRORS) + ")")
-        fails = F.col("_error").isNotNull() | wants_retranslation(F.col("hard_flags"))
-        most = F.when(about_tokens, F.greatest("_most", F.lit(TOKEN_REPAIRS))).otherwise(F.col("_most"))
-        reason = F.coalesce("_error", F.array_join(F.concat("hard_flags", "soft_flags"), " | "))
-        asked = render(PROMPTS["repair"], target=label, reason=reason, tokens=must_keep_tokens(F.col(frozen)), draft=F.col("_text"), text=F.col(frozen))
-        again = fails & (F.col("_done") < most) & F.lit(turn < rounds)
-        step = judged.select(*df.columns, "_text", most.alias("_most"), "_done", F.when(again, asked).alias("_prompt"), "_error")
-    step = gaps_translated(step.withColumn("_open", F.when(F.col("_error").isNotNull(), F.col(frozen))), "_open", source_lang, target_lang, "_forced", factory, name)
-    step = validated(step, frozen, nt_map, "_forced", "_forced_error")
-    forced = F.col("_open").isNotNull() & F.col("_forced_error").isNull()
-    origin = F.when(F.col("_error").isNull(), F.when(F.col("_done") > 0, "repair").otherwise("draft")).when(forced, "gaps").otherwise("source")
-    text = F.when(F.col("_error").isNull(), F.col("_text")).when(forced, F.col("_forced")).otherwise(F.coalesce(frozen, F.lit("")))
-    return step.select(*df.columns, text.alias(out), F.col("_error").alias(f"{out}_error"), origin.alias(f"{out}_from"))
+    labels = {"_from": lang_label(F.col(source_lang)), "_to": lang_label(F.col(target_lang))}
+    step = with_answers(df.withColumns(labels), [frozen, nt_map, draft, source_lang, target_lang, *labels], "_done", REPAIRED, _repairs(rounds), factory, name)
+    return step.select(*df.columns, F.col("_done.text").alias(out), F.col("_done.error").alias(f"{out}_error"), F.col("_done.origin").alias(f"{out}_from"))
 
 
 def agent_ladder(df: DataFrame, instructed: str, direct: str, draft: str, source: str, nt_map: str, source_lang: str, target_lang: str) -> DataFrame:

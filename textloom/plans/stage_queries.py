@@ -19,8 +19,13 @@ ORDER = ["tu_id", "rec_id"]
 
 def vowels_model() -> Callable[[list[str]], list[str]]:
     """Gives back what follows a prompt's first line, its vowels in capitals."""
-    capitals = str.maketrans("aeiou", "AEIOU")
-    return lambda prompts: [p.split("\n", 1)[-1].translate(capitals) for p in prompts]
+
+    def capitals(text: str) -> str:
+        for vowel in "aeiou":
+            text = text.replace(vowel, vowel.upper())
+        return text
+
+    return lambda prompts: [capitals(p.split("\n", 1)[-1]) for p in prompts]
 
 
 def forgetful_model() -> Callable[[list[str]], list[str]]:
